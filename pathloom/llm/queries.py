@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprint import edited_fingerprints
+from .packing import pack_documents
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
