@@ -25,7 +25,7 @@ FEATURES = 1 << 20
 #: Besides whole words, their beginnings of so many bytes.
 BEGINNINGS = (4, 5, 6)
 #: The model is fitted on at most so many labelled rows of each class (the ones with the least hashes).
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 2_500
 #: Documents are rejected from this score on.
 THRESHOLD = 0.3
 #: Sentences end at these bytes (. ! ? and line feed).
@@ -86,15 +86,12 @@ def noisy_or(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(logs[first[1:]] - logs[first[:-1]]), 0, 1)
 
 
-def _telling(pairs: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(seen: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
     """The features whose documents are toxic more often than chance among so many features gives.
 
-    ``pairs``: row * FEATURES + feature, once each. A feature is kept if its likelihood ratio
-    against independence exceeds 2 ln(number of features seen).
+    ``seen``, ``toxic``: documents and toxic documents with each feature; ``rate``: share of toxic
+    ones. A feature is kept if its likelihood ratio against independence exceeds 2 ln(features seen).
     """
-    feature, bad = pairs % FEATURES, y[pairs // FEATURES] == 1
-    seen, toxic = np.bincount(feature, minlength=FEATURES), np.bincount(feature[bad], minlength=FEATURES)
-    rate = y.mean()
     term = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9)), 0)
     ratio = 2 * (term(toxic, seen * rate) + term(seen - toxic, seen * (1 - rate)))
     return (toxic > seen * rate) & (ratio > 2 * np.log(max(2, int((seen > 0).sum()))))
@@ -111,25 +108,39 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_CLASS, epochs: int = 60, rid
     if len(totals) < 2:
         return ToxicityModel(np.zeros(FEATURES), -30.0)
     rows = sample(usable, "toxic", most)
-    x = instances(pa.array([r["text"] for r in rows], pa.string()))
     y = np.array([r["toxic"] for r in rows], float)
-    some = np.diff(x.first) > 0
+    parts = [pa.array([r["text"] for r in rows[i : i + 100]], pa.string()) for i in range(0, len(rows), 100)]
+    del rows
+    seen, toxic = np.zeros(FEATURES), np.zeros(FEATURES)
+    for i, part in enumerate(parts):
+        x = instances(part)
+        row = np.repeat(np.arange(len(part)), np.diff(x.first))
+        pairs = np.unique(row[x.sentence][:, None] * FEATURES + x.feature)
+        seen += np.bincount(pairs % FEATURES, minlength=FEATURES)
+        toxic += np.bincount(pairs[y[100 * i + pairs // FEATURES] == 1] % FEATURES, minlength=FEATURES)
+    usual = _telling(seen, toxic, y.mean())
+    told = np.flatnonzero(usual)
+    flat, spread, lengths, count = [], [], [], 0
+    for part in parts:
+        x = instances(part)
+        inside = usual[x.feature]
+        flat.append(np.searchsorted(told, x.feature[inside]))
+        spread.append(count + np.broadcast_to(x.sentence[:, None], x.feature.shape)[inside])
+        lengths.append(np.diff(x.first))
+        count += int(x.first[-1])
+    flat, spread, lengths = np.concatenate(flat), np.concatenate(spread), np.concatenate(lengths)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    row = np.repeat(np.arange(len(y)), lengths)
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     share = np.where(y == 1, totals[1] / drawn[1], totals[0] / drawn[0])
-    share = np.where(some, share / share.mean(), 0)
-    row = np.repeat(np.arange(len(y)), np.diff(x.first))
-    usual = _telling(np.unique(row[x.sentence][:, None] * FEATURES + x.feature), y)
-    told = np.flatnonzero(usual)
-    inside = usual[x.feature]
-    flat = np.searchsorted(told, x.feature[inside])
-    spread = np.broadcast_to(x.sentence[:, None], x.feature.shape)[inside]
-    n, sentences = max(1, len(y)), int(x.first[-1])
+    share = np.where(lengths > 0, share / share.mean(), 0)
+    n, sentences = max(1, len(y)), count
     # the last entry is the bias
     weight, moment, square = np.append(np.zeros(len(told)), -6.0), np.zeros(len(told) + 1), np.zeros(len(told) + 1)
     for t in range(1, epochs + 1):  # full-batch Adam
         total = np.bincount(spread, weight[flat], minlength=sentences) + weight[-1]
         p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-        whole = np.clip(noisy_or(p, x.first), 1e-6, 1 - 1e-6)
+        whole = np.clip(noisy_or(p, first), 1e-6, 1 - 1e-6)
         # d loss / d total of a sentence = p (1 - y / P): all fall with a clean label, the likely ones rise with a toxic one
         slope = share[row] * p * (1 - (y / whole)[row]) / n
         gradient = np.append(np.bincount(flat, slope[spread], minlength=len(told)) + ridge * weight[:-1], slope.sum())
