@@ -235,7 +235,9 @@ def _decode_blocks(words: np.ndarray, used: np.ndarray, lengths: np.ndarray) ->
                 own = own * 16 + choice
             low[new], wide[new], code[new], place[new] = a, b, c, p
             symbol[new] = own
+        # what corrupt words lead to is told by the checksum
         np.minimum(place, limit, out=place)
+        np.minimum(symbol, BLOCK - 1, out=symbol)
         symbols[:m, t] = symbol
         model.learn(event, symbol)
     return symbols

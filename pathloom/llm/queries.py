@@ -10,6 +10,7 @@ from .common import table
 from .fingerprint import edited_fingerprints
 from .language import identify
 from .packing import pack_documents
+from .tokenfile import round_trip
 from .toxicity import judge
 
 
@@ -25,12 +26,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
