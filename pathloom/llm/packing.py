@@ -106,14 +106,23 @@ def _improve(low: list[int], high: list[int], lengths: list[int], room: int, lea
     return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Empties the least full bins into the others while that increases the sum of squared fills."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, tries: int = 20) -> list[list[int]]:
+    """Empties the least full bins into the others while that increases the sum of squared fills.
+
+    At most ``tries`` pairs of bins per piece are tried.
+    """
+    tries *= len(lengths)
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(rounds):
         changed = False
         order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
-        for low in order[: max(8, len(order) // 8)]:
+        for low in order:
+            if sum(capacity - fill[k] for k in order if k != low and bins[k]) < fill[low]:
+                break  # neither this bin nor a fuller one can empty
             for high in sorted((k for k in order if k != low and bins[k]), key=lambda k: -fill[k]):
+                tries -= 1
+                if tries < 0:
+                    return [b for b in bins if b]
                 while bins[low] and capacity > fill[high] >= fill[low] and _improve(
                     bins[low], bins[high], lengths, capacity - fill[high], fill[high] - fill[low]
                 ):

@@ -1,43 +1,99 @@
-"""Token ids by a public tokenizer, encoded piece by piece with a bounded memo.
+"""Token ids by a public tokenizer, encoded piece by piece with bounded memos.
 
-The vocabularies used here split text at white space before anything else, so the
-ids of a text are those of its ASCII-white-space pieces in order. Pieces repeat,
-and each is encoded once per worker while the memo holds it.
+The vocabulary used here splits text at white space before anything else, so the ids
+of a text are those of its ASCII-white-space chunks in order. A chunk of plain
+characters is split further into the runs that the vocabulary's own rule makes (letters,
+single digits, marks), and each run goes to the BPE model directly. Any other chunk
+(apostrophes, special tokens, other scripts) is encoded by the whole tokenizer. A file
+with other rules is always used whole. Chunks and runs repeat, so each is encoded once
+per worker while a memo holds it.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
 #: Id appended to each document.
 END = 1
-#: Pieces remembered by a worker; the memo starts anew beyond that.
-MEMO = 300_000
+#: Chunks and runs in one generation of a worker's memos.
+MEMO = 250_000
+
+# The split rule of the vocabulary file for which runs are taken apart here.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Printable ASCII but the apostrophe, and the letters of Latin-1.
+_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+_RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+|[0-9]|[^A-Za-z0-9\xc3\x80-\xbf]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that byte-level vocabularies use for each byte: itself if visible, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class _Memo(dict):
+    """Remembers what ``find`` gives, in two generations: beyond MEMO entries the older one goes."""
+
+    def __init__(self, find):
+        super().__init__()
+        self._find, self._older = find, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self._older.get(key)
+        if value is None:
+            value = self._find(key)
+        if len(self) >= MEMO:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
-    """Encodes UTF-8 texts to little-endian unsigned 32-bit ids."""
+    """Encodes UTF-8 texts to little-endian unsigned 32-bit ids, with the end id after each text."""
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[bytes, bytes] = {}
+        self._model = self._tokenizer.model
+        self._letters = _byte_letters()
+        self._ids = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._runs, self._chunks = _Memo(self._run), _Memo(self._chunk)
+        rules = json.loads(self._tokenizer.to_str())
+        text = json.dumps(rules["pre_tokenizer"])
+        self._splits = json.dumps(_SPLIT) in text and '"Lowercase"' in json.dumps(rules["normalizer"])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        known = self._ids
+        return b"".join([known[i] for i in ids])
+
+    def _run(self, run: bytes) -> bytes:
+        letters = self._letters
+        word = run.decode() if run.isascii() else "".join([letters[b] for b in run])
+        return self._packed([t.id for t in self._model.tokenize(word)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            return self._runs[chunk.lower()]
+        if chunk[:-1].isalpha() and chunk[-1:] in b".,;:!?":
+            return self._runs[chunk[:-1].lower()] + self._runs[chunk[-1:]]
+        if _PLAIN.fullmatch(chunk) and b"<|" not in chunk:
+            low = chunk.lower() if chunk.isascii() else chunk.decode().lower().encode()
+            return b"".join(map(self._runs.__getitem__, _RUN.findall(low)))
+        return self._packed(self._tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        memo = self._memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*parts).difference(memo))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                memo[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        get = memo.__getitem__
         end = END.to_bytes(4, "little")
-        return [b"".join(map(get, p)) + end for p in parts]
+        if not self._splits:
+            found = self._tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [self._packed(e.ids) + end for e in found]
+        get = self._chunks.__getitem__
+        return [b"".join(map(get, t.split())) + end for t in texts]
 
 
 @lru_cache(maxsize=2)
