@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .fingerprint import edited_fingerprints
 from .language import identify
 from .packing import pack_documents
+from .perplexity import cross_entropy_difference
 from .tokenfile import round_trip
 from .toxicity import judge
 
@@ -34,11 +36,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op7_document_fingerprints": op7_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
