@@ -75,6 +75,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
+    h = np.asarray(h)
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     h = h ^ (h >> np.uint64(29))
@@ -148,7 +149,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[n
         here = padded[at + j]
         if j:
             here = np.where(left > j, here, np.uint64(0))
-        out += mix(here + _STEP[j % 5] * np.uint64(j + 1))
+        out += mix(here + np.uint64(int(_STEP[j % 5]) * (j + 1) % (1 << 64)))
     return mix(out), begin
 
 

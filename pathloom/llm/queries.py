@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contaminated
 from .fingerprint import edited_fingerprints
 from .language import identify
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .perplexity import cross_entropy_difference
 from .tokenfile import round_trip
@@ -20,6 +21,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
