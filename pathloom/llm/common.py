@@ -122,6 +122,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 capitals lowered in place, so that byte places stay."""
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    low[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+    return low
+
+
 def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all rows, and where each row's words start."""
     data, offsets = utf8(pc.utf8_lower(pc.fill_null(array, "")))

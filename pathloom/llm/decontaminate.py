@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, span_hashes, utf8, word_spans
+from .common import folded, mix, slices, span_hashes, utf8, word_spans
 
 #: Canonical tokens in a window (an item with fewer has one window of all).
 WINDOW = 8
@@ -68,12 +68,7 @@ def canonicalise(array: pa.Array) -> Canonical:
     if not len(starts):
         none = np.zeros(0, np.uint64)
         return Canonical(none, np.zeros(0, np.int64), none, first)
-    # ASCII and Latin-1 capitals are lowered in place, so that byte places stay
-    low = data.copy()
-    low[(data >= 65) & (data <= 90)] += 32
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    low[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+    low = folded(data)
     word = span_hashes(low, starts, ends)
     number = _DIGIT[data[starts]]
     capital = (data[starts] != low[starts]) | ((data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(data) - 1)] != data[np.minimum(starts + 1, len(data) - 1)]))

@@ -12,6 +12,7 @@ from .fingerprint import edited_fingerprints
 from .language import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .passages import repeated_passages
 from .perplexity import cross_entropy_difference
 from .tokenfile import round_trip
 from .toxicity import judge
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
     "op1_near_duplicates": op1_near_duplicates,
