@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .conversations import reply_ordered
 from .decontaminate import contaminated
 from .fingerprint import edited_fingerprints
 from .language import identify
@@ -50,18 +51,30 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_file": op5_token_file,
     "op6_toxicity": op6_toxicity,
+    "pipeline": pipeline,
     "op1_near_duplicates": op1_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_quotation_links": op9_quotation_links,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op7_document_fingerprints": op7_document_fingerprints,
 }
