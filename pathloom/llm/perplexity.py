@@ -55,7 +55,7 @@ def codes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             at = at[at < offsets[1:]]
             shifted[at] = _START
         out += shifted * SYMBOLS**back
-    return out, offsets
+    return out.astype(np.int32), offsets
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def count_ngrams(documents: DataFrame) -> DataFrame:
             if inside.any():
                 held[1].append(found[inside])
             pending += len(found)
-            if pending > 4 * size:
+            if pending > 1 << 21:
                 add()
                 pending = 0
         add()
@@ -162,6 +162,7 @@ def cross_entropy_difference(documents: DataFrame, labels: DataFrame) -> DataFra
     they occur; other columns are ignored; an empty table gives an empty result.
     """
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
-    marked = documents.select("doc_id", "text").join(good, "doc_id", "left")
+    # labels grow with the corpus: the plan that holds for large ones is used for all
+    marked = documents.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     tables = fit(marked.select("text", F.coalesce("_target", F.lit(False)).alias("_target")))
     return score(documents, tables)
