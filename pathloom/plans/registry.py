@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic
+from . import basic, relations
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basic.QUERIES}
-ORACLES: dict[str, str] = {**basic.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basic.QUERIES, **relations.QUERIES}
+ORACLES: dict[str, str] = {**basic.ORACLES, **relations.ORACLES}
