@@ -100,20 +100,23 @@ def quotation_links(messages: DataFrame) -> DataFrame:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """conv_id, turn, root_turn, depth from conv_id, turn, parent (null at roots), all turns different."""
-    state = cut(parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    while True:
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = cut(
-            state.join(above, ["conv_id", "up"], "left").select(
-                "conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.coalesce("next", "up") != F.col("up")).alias("_moved"),
-            )
-        )
-        moved = state.where("_moved").isEmpty()
-        state = state.drop("_moved")
-        if moved:
-            return state.withColumnRenamed("up", "root_turn")
+    """conv_id, turn, root_turn, depth from conv_id, turn, parent (null at roots), all turns different.
+
+    Each round doubles how far a message points; those that point at a root are done and leave.
+    """
+    going = cut(parents.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
+    done = going.where("up = turn")
+    going = going.where("up != turn")
+    while not going.isEmpty():
+        above = done.withColumn("_root", F.lit(True)).unionByName(going.withColumn("_root", F.lit(False)))
+        above = above.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), "_root")
+        moved = going.join(above, ["conv_id", "up"]).select(
+            "conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "_root"
+        )
+        moved = cut(moved)
+        done = cut(done.unionByName(moved.where("_root").drop("_root")))
+        going = moved.where("not _root").drop("_root")
+    return done.withColumnRenamed("up", "root_turn")
 
 
 def own_texts(messages: DataFrame) -> DataFrame:
