@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, relations
+from . import basic, models, relations
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basic.QUERIES, **relations.QUERIES}
-ORACLES: dict[str, str] = {**basic.ORACLES, **relations.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basic.QUERIES, **relations.QUERIES, **models.QUERIES}
+ORACLES: dict[str, str] = {**basic.ORACLES, **relations.ORACLES, **models.ORACLES}
