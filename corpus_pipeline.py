@@ -24,10 +24,8 @@ from pathloom.llm.toxicity import THRESHOLD, score, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the toxicity threshold; labels are learned as op6 does."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    kept = score(docs, model, docs.columns) if "score" not in docs.columns else None
-    if kept is None:
-        raise ValueError("documents have a column named score")
-    return kept.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # so no column clashes with a score
+    return score(whole, model, ["_row"]).where(F.col("score") < THRESHOLD).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ after Unicode lower-casing. A null text counts as an empty one everywhere.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A slice of a batch holds about so many bytes, whatever the batch size is.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Words in a shingle, and the similarity from which texts are near-duplicates.
 SHINGLE = 5
 SIMILARITY = 0.8
 
 
+#: Rows of a batch that Spark hands to Python: they hold whole texts, so few are enough.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table of the folder. Sets the session's Arrow batches to BATCH_ROWS if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back, so its lineage ends there.
+
+    A written table also has its true size: a checkpoint keeps its plan's estimate, and in a loop
+    of joins such estimates multiply until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -41,11 +41,12 @@ def counts(array: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, n
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     out = np.zeros((len(array), dimensions), np.float32)
+    lettered = pc.fill_null(pc.match_substring_regex(array, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     some = np.zeros(len(array), bool)
     mask = np.uint64(dimensions - 1)
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         x = symbol[a:b][keep[a:b]]
-        if not len(x) or not letter[a:b].any():
+        if not lettered[i]:
             continue
         some[i] = True
         x = np.concatenate([[np.uint64(32)], x])

@@ -106,7 +106,7 @@ def _improve(low: list[int], high: list[int], lengths: list[int], room: int, lea
     return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, tries: int = 20) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, tries: int = 6) -> list[list[int]]:
     """Empties the least full bins into the others while that increases the sum of squared fills.
 
     At most ``tries`` pairs of bins per piece are tried.

@@ -33,7 +33,7 @@ def test_edge_rows(spark):
 
 def test_counts_cover_whole_texts():
     short, some = language.counts(pa.array(["ab", "ab " * 50_000, None, "…"]))
-    assert some.tolist()[:3] == [True, True, False] and short[1].sum() > 100_000
+    assert some.tolist() == [True, True, False, False] and short[1].sum() > 100_000
 
 
 def test_rejection_of_foreign_text(spark):
