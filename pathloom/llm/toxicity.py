@@ -184,7 +184,8 @@ def score(df: DataFrame, model: ToxicityModel, keys: list[str], least: float = 0
 def train(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model from the labels of documents whose crc32(doc_id) mod 4 is not 2."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", "toxic")
-    return fit(documents.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    # labels grow with the corpus: the plan that holds for large ones is used for all
+    return fit(documents.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "toxic"))
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
