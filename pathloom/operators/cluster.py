@@ -38,12 +38,20 @@ def dense(x: DistanceResult) -> tuple[list[str], np.ndarray]:
     names = sorted(r[0] for r in x.sequences.select("sequence_id").limit(DENSE + 1).collect())
     if len(names) > DENSE:
         raise ValidationError(f"more than {DENSE} sequences; cluster a sample and assign the rest by its medoids")
-    at = {s: k for k, s in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    pairs = x.pairs.toPandas()
+    pairs, like = x.pairs, dict(zip(names, names, strict=True))
+    if x.twins is not None:  # distances of distinct paths say all
+        like = {r[0]: r[1] for r in x.twins.collect()}
+        first = x.twins.select("like").distinct()
+        for c in ("sequence_id_1", "sequence_id_2"):
+            pairs = pairs.join(first.withColumnRenamed("like", c), c, "left_semi")
+    kept = sorted(set(like.values()))
+    at = {s: k for k, s in enumerate(kept)}
+    d = np.zeros((len(kept), len(kept)))
+    pairs = pairs.toPandas()
     i, j = pairs["sequence_id_1"].map(at).to_numpy(int), pairs["sequence_id_2"].map(at).to_numpy(int)
     d[i, j] = d[j, i] = pairs["distance"].to_numpy(float)
-    return names, d
+    own = [at[like[s]] for s in names]
+    return names, d[np.ix_(own, own)]
 
 
 def lance_williams(d: np.ndarray, linkage: str, members: np.ndarray | None = None) -> list[tuple[int, int, float]]:

@@ -22,6 +22,8 @@ class DistanceResult:
     pairs: DataFrame
     sequences: DataFrame
     method: str
+    #: sequence_id and ``like``, the first sequence with the same path, where equal paths are at distance 0.
+    twins: DataFrame | None = None
 
 
 def edit_distance(a: list[str], b: list[str], indel: float, substitution) -> float:
@@ -125,7 +127,11 @@ def compute_sequence_distance(
         else:
             pairs = joined.withColumns({"x": F.least("states_1", "states_2"), "y": F.greatest("states_1", "states_2")}).join(measured, ["x", "y"]).select("sequence_id_1", "sequence_id_2", "n_1", "n_2", "d")
     scale = {"none": F.lit(1), "max_length": F.greatest("n_1", "n_2"), "path_length": F.col("n_1") + F.col("n_2")}[normalise]
-    return DistanceResult(pairs.select("sequence_id_1", "sequence_id_2", ratio(F.col("d"), scale).alias("distance")), seqs.select("sequence_id"), method)
+    twins = None
+    if method == "levenshtein":
+        first = seqs.groupBy("states").agg(F.min("sequence_id").alias("like"))
+        twins = seqs.join(first, "states").select("sequence_id", "like")
+    return DistanceResult(pairs.select("sequence_id_1", "sequence_id_2", ratio(F.col("d"), scale).alias("distance")), seqs.select("sequence_id"), method, twins)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

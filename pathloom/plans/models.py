@@ -22,11 +22,8 @@ def _paths(s, d):
 
 
 def _distances(s, d):
-    """Distances between distinct role paths, each by its first conversation."""
-    conv = t.conversations(s, d)
-    path = conv.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("p"))
-    first = path.groupBy("p").agg(F.min("conv_id").alias("conv_id"))
-    return distance.compute_sequence_distance(conv.join(first.select("conv_id"), "conv_id", "left_semi"), **t.CONV)
+    """Distances between the role paths of all conversations."""
+    return distance.compute_sequence_distance(t.conversations(s, d), **t.CONV)
 
 
 def _clusters(s, d, **more):

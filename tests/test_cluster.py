@@ -66,3 +66,14 @@ def test_assessment(spark):
     merged, shares = cluster.create_sequence_cluster_ensemble(c, cluster.cluster_sequences(x, 3), k=3)
     assert {r["cluster"] for r in merged.assignments.collect()} == {1, 2, 3} and shares.count() == 28
     assert {r["sequence_id"] for r in cluster.extract_representative_sequences(c).collect()} <= set(names)
+
+
+def test_cluster_queries_see_every_conversation(spark):
+    from pathloom.plans import models
+    from pathloom.sources import tables
+
+    folder = "/root/testdata/sf0.01"
+    ids = {str(r[0]) for r in tables.conversations(spark, folder).select("conv_id").distinct().collect()}
+    assert {r["sequence_id"] for r in models._distances(spark, folder).sequences.collect()} == ids
+    for name in ("cluster_hier", "cluster_clara", "silhouette_data"):
+        assert {r["sequence_id"] for r in models.QUERIES[name](spark, folder).collect()} == ids
