@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder where that is unset and all runs in one JVM, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -51,7 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables from ``cut`` that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_cut_path", None):
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
