@@ -72,14 +72,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Split batches so that the text of each slice is about SLICE_BYTES or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Split batches so that the text of each slice is about ``most`` bytes or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(size, dtype=np.int64) // most
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, n], strict=True):
             yield batch.slice(int(a), int(b - a))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import coder
-from .common import shared_folder, shuffle_partitions, slices, utf8
-from .tokens import default_path, encoder
+from .common import shared_folder, shuffle_partitions, slices
+from .tokens import BLOCK_BYTES, default_path, encoder
 
 #: A frame is closed once it has so many ids (1024 blocks).
 FRAME = 1 << 22
@@ -34,27 +34,25 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         part = TaskContext.get().partitionId()
-        frame, first, held, held_ids, keys = 0, 0, [], 0, []
+        frame, first, held, lengths, held_ids, keys = 0, 0, [], [], 0, []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            payload = coder.encode(ids, np.array([len(h) // 4 for h in held]), keys)
+            payload = coder.encode(np.concatenate(held), np.concatenate(lengths), keys)
             values = ([part], [frame], [first], [len(keys)], [held_ids], [payload])
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["part", "frame", "first", "n_docs", "n_tokens", "payload"]
             )
 
-        for batch in slices(batches):
-            data, at = utf8(batch.column("text"))
-            raw = data.tobytes()
-            ids = encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-            held += ids
+        for batch in slices(batches, most=BLOCK_BYTES):
+            ids, at = encode(batch.column("text"))
+            held.append(ids)
+            lengths.append(np.diff(at))
             keys += batch.column("doc_id").to_pylist()
-            held_ids += sum(map(len, ids)) // 4
+            held_ids += len(ids)
             if held_ids >= FRAME:
                 yield close()
-                frame, first, held, held_ids, keys = frame + 1, first + held_ids, [], 0, []
+                frame, first, held, lengths, held_ids, keys = frame + 1, first + held_ids, [], [], 0, []
         if held:
             yield close()
 
@@ -112,7 +110,8 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame
     """Writes the documents to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts hold the end id alone; null ids and repeated rows are kept; an empty
-    table gives an empty result; other columns are ignored. The file stays for later readers.
+    table gives an empty result; other columns, whatever their names, are ignored. A very long text
+    makes its frame as long as itself. The file stays for later readers.
     """
     spark = documents.sparkSession
     path = f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex}"

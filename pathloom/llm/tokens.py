@@ -1,4 +1,4 @@
-"""Token ids by a public tokenizer, encoded piece by piece with bounded memos.
+"""Token ids by a public tokenizer: each different word of a slice is looked up once, in bounded memos.
 
 The vocabulary used here splits text at white space before anything else, so the ids
 of a text are those of its ASCII-white-space chunks in order. A chunk of plain
@@ -6,7 +6,8 @@ characters is split further into the runs that the vocabulary's own rule makes (
 single digits, marks), and each run goes to the BPE model directly. Any other chunk
 (apostrophes, special tokens, other scripts) is encoded by the whole tokenizer. A file
 with other rules is always used whole. Chunks and runs repeat, so each is encoded once
-per worker while a memo holds it.
+per worker while a memo holds it, and the ids of a slice are gathered from those of its
+different chunks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Id appended to each document.
@@ -26,8 +30,10 @@ MEMO = 250_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Printable ASCII but the apostrophe, and the letters of Latin-1.
-_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
-_RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+|[0-9]|[^A-Za-z0-9\xc3\x80-\xbf]+")
+_PLAIN = re.compile("(?:[!-&(-~]|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])*")
+_RUN = re.compile("[A-Za-z\u00c0-\u00ff]+|[0-9]|[^A-Za-z0-9\u00c0-\u00ff]+")
+#: Bytes of text that are encoded at once: the more, the more words are equal.
+BLOCK_BYTES = 1 << 22
 
 
 def _byte_letters() -> list[str]:
@@ -44,7 +50,7 @@ class _Memo(dict):
         super().__init__()
         self._find, self._older = find, {}
 
-    def __missing__(self, key: bytes) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         value = self._older.get(key)
         if value is None:
             value = self._find(key)
@@ -56,7 +62,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Encodes UTF-8 texts to little-endian unsigned 32-bit ids, with the end id after each text."""
+    """Encodes texts to unsigned 32-bit ids, with the end id after each text."""
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
@@ -72,28 +78,43 @@ class Encoder:
         known = self._ids
         return b"".join([known[i] for i in ids])
 
-    def _run(self, run: bytes) -> bytes:
+    def _run(self, run: str) -> bytes:
         letters = self._letters
-        word = run.decode() if run.isascii() else "".join([letters[b] for b in run])
+        word = run if run.isascii() else "".join([letters[b] for b in run.encode()])
         return self._packed([t.id for t in self._model.tokenize(word)])
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():
-            return self._runs[chunk.lower()]
-        if chunk[:-1].isalpha() and chunk[-1:] in b".,;:!?":
-            return self._runs[chunk[:-1].lower()] + self._runs[chunk[-1:]]
-        if _PLAIN.fullmatch(chunk) and b"<|" not in chunk:
-            low = chunk.lower() if chunk.isascii() else chunk.decode().lower().encode()
-            return b"".join(map(self._runs.__getitem__, _RUN.findall(low)))
-        return self._packed(self._tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        end = END.to_bytes(4, "little")
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._run(chunk.lower())
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return self._runs[chunk[:-1].lower()] + self._runs[chunk[-1]]
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join(map(self._runs.__getitem__, _RUN.findall(chunk.lower())))
+        return self._packed(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (one more at the end)."""
+        texts = pc.fill_null(texts, "")
         if not self._splits:
-            found = self._tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [self._packed(e.ids) + end for e in found]
-        get = self._chunks.__getitem__
-        return [b"".join(map(get, t.split())) + end for t in texts]
+            found = [np.array([*e.ids, END], "<u4") for e in self._tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        chunks = pc.ascii_split_whitespace(texts)
+        words = chunks.flatten().dictionary_encode()
+        encoded = list(map(self._chunks.__getitem__, words.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        known = np.frombuffer(b"".join(encoded), "<u4")
+        index = words.indices.to_numpy(zero_copy_only=False)
+        count = sizes[index]
+        before = np.concatenate([[0], np.cumsum(count)])
+        rows = np.asarray(chunks.offsets) - chunks.offsets[0].as_py()
+        ends = before[rows[1:]] + np.arange(1, len(rows))
+        out = np.empty(before[-1] + len(ends), "<u4")
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[ends - 1] = END
+        out[inside] = known[np.repeat((np.cumsum(sizes) - sizes)[index] - before[:-1], count) + np.arange(before[-1])]
+        return out, np.concatenate([[0], ends])
 
 
 @lru_cache(maxsize=2)

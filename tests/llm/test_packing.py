@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -15,9 +16,61 @@ def test_encoder_equals_whole_text_encoding():
     path = tokens.default_path()
     plain = Tokenizer.from_file(path)
     texts = ["", "Hello  world's\n\tit's 12,345 éÀ ß…", "a\x1cb c d  é x", "<|endoftext|> q<|startoftext|>", "日本語 テスト 　 x", "don't 'S \"quoted\""]
-    for text, got in zip(texts, tokens.Encoder(path)([t.encode() for t in texts]), strict=True):
+    texts += ["ÀÉ Straße", " lead", "trail \n", "İstanbul ŉ ǅ", "x" * 70_000, "a\u2028b\u00a0c", "DON'T 5th it's."]
+    ids, at = tokens.Encoder(path)(pa.array([None, *texts])[1:])
+    for k, text in enumerate(texts):
         want = plain.encode(text, add_special_tokens=False).ids + [1]
-        assert np.frombuffer(got, "<u4").tolist() == want, text
+        assert ids[at[k] : at[k + 1]].tolist() == want, text
+    assert tokens.Encoder(path)(pa.array([None], pa.string()))[0].tolist() == [1]
+
+
+def least_bins(lengths, capacity):
+    """The fewest bins, by trying all."""
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity:
+                place(i + 1, (*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]))
+        place(i + 1, (*bins, lengths[i]))
+
+    place(0, ())
+    return best
+
+
+def test_against_the_optimum():
+    rng, over = random.Random(4), 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
+        over += len(packing.pack_group(lengths, 24)) - least_bins(lengths, 24)
+    assert over == 0
+
+
+def test_best_exchange_against_all():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        low = np.sort(rng.integers(1, 30, rng.integers(1, 7)))
+        high = np.concatenate([[0], rng.integers(1, 30, 8)])
+        room, lead = rng.integers(0, 25, 9), rng.integers(-3, 9, 9)
+        moves = [(a,) for a in low] + [(low[i], low[j]) for i in range(len(low)) for j in range(i + 1, len(low))]
+        want = max([sum(m) - b for m in moves for b, r, d in zip(high, room, lead, strict=True) if d >= 0 and 0 < sum(m) - b <= r], default=0)
+        got = packing._best_exchange(low, high, room, lead)
+        assert (got[3] if got else 0) == want
+        if got:
+            i, j, k, gain = got
+            assert low[i] + (low[j] if j >= 0 else 0) - high[k] == gain and i != j
+
+
+def test_a_group_without_gain_ends(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    df = spark.range(100).selectExpr("id", "cast(60 as bigint) as length")
+    assert packing.pack(df, 100).select("sequence_id").distinct().count() == 100
 
 
 @settings(max_examples=60, deadline=None)
@@ -42,7 +95,7 @@ def test_swap_search_beats_best_fit():
 
 
 def test_query_rows(spark, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 4)
+    monkeypatch.setattr(packing, "GROUP", 16)
     texts = [(i, "word " * (37 * i % 900), "clash") for i in range(30)] + [(30, None, ""), (31, "long text " * 5000, ""), (3, "word", ""), (None, "x", "")]
     df = spark.createDataFrame(texts, "doc_id long, text string, sequence_id string")
     rows = packing.pack_documents(df).collect()
