@@ -5,7 +5,14 @@ inside a sentence) and units after a number become typed placeholders, neighbour
 kind one placeholder. Windows of WINDOW canonical tokens, half of them literal at least, are
 hashed and joined; where a document shares enough of an item's windows on one alignment, the
 slots of both are compared: values must replace each other consistently. So an item is found
-whether it is copied or asked with other parameters.
+whether it is copied or asked with other parameters. An item that has no window with enough
+literal tokens is found by windows of its plain words, so only as a copy.
+
+Items with the same template, and the same of their slots equal to each other, are one class, so
+a template that many items share is matched once. Documents are read once to hash their windows;
+a bitmap of fixed size, broadcast, drops those that no item can have, and the others are joined to
+the items' windows by their hashes. Equal texts are matched once. Only texts with a match are read
+again for their slots.
 """
 
 from __future__ import annotations
@@ -20,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, mix, slices, span_hashes, utf8, word_spans
+from .common import cut, folded, mix, slices, span_hashes, utf8, word_spans
 
 #: Canonical tokens in a window (an item with fewer has one window of all).
 WINDOW = 8
 #: Shares of an item's windows, and of its slots, that must agree.
 COVERAGE, CONSISTENCY = 0.3, 0.8
-#: Items are broadcast in blocks of about so many; each block is matched against all documents.
-BLOCK_ITEMS = 20_000
+#: Bits of the bitmap that is broadcast; with more windows than bits it only drops fewer.
+BITMAP = 1 << 24
 
 # Measurement units that stand after a number.
 UNITS = (
@@ -53,12 +60,14 @@ def _unit_hashes() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Canonical:
-    """Tokens of all rows (template hash, slot type or 0, value hash), and each row's first."""
+    """Tokens of all rows (template hash, slot type or 0, value hash), and each row's first; plain words likewise."""
 
     template: np.ndarray
     kind: np.ndarray
     value: np.ndarray
     first: np.ndarray
+    word: np.ndarray
+    first_word: np.ndarray
 
 
 def canonicalise(array: pa.Array) -> Canonical:
@@ -67,7 +76,7 @@ def canonicalise(array: pa.Array) -> Canonical:
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.uint64)
-        return Canonical(none, np.zeros(0, np.int64), none, first)
+        return Canonical(none, np.zeros(0, np.int64), none, first, none, first)
     low = folded(data)
     word = span_hashes(low, starts, ends)
     number = _DIGIT[data[starts]]
@@ -91,62 +100,127 @@ def canonicalise(array: pa.Array) -> Canonical:
     place = np.arange(len(starts)) - np.repeat(heads, np.diff(np.append(heads, len(starts))))
     value = np.add.reduceat(mix(word + place.astype(np.uint64)), heads)
     own = kind[heads]
-    return Canonical(np.where(own > 0, _TYPED[own], word[heads]), own, value, np.searchsorted(heads, first))
+    return Canonical(np.where(own > 0, _TYPED[own], word[heads]), own, value, np.searchsorted(heads, first), word, first)
 
 
-def windows(x: Canonical, width: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(token: np.ndarray, kind: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window that starts at each token, and whether it lies in a row and is half literal."""
-    n = len(x.template)
+    n = len(token)
     if n < width:
         return np.zeros(n, np.uint64), np.zeros(n, bool)
-    total, slots = np.zeros(n - width + 1, np.uint64), np.zeros(n - width + 1, np.int64)
+    total, slots = np.full(n - width + 1, width, np.uint64), np.zeros(n - width + 1, np.int64)
     for j in range(width):
-        total += mix(x.template[j : n - width + 1 + j] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1))
-        slots += x.kind[j : n - width + 1 + j] > 0
-    row_end = np.repeat(x.first[1:], np.diff(x.first))[: n - width + 1]
+        total += mix(token[j : n - width + 1 + j] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1))
+        slots += kind[j : n - width + 1 + j] > 0
+    row_end = np.repeat(first[1:], np.diff(first))[: n - width + 1]
     good = (np.arange(n - width + 1) + width <= row_end) & (2 * slots <= width)
     tail = np.zeros(width - 1, bool)
     return np.concatenate([mix(total), np.zeros(width - 1, np.uint64)]), np.concatenate([good, tail])
 
 
-@dataclass(frozen=True)
-class Items:
-    """Windows of some items by width, and their slots."""
-
-    ids: list
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    total: np.ndarray
-    kind: list[np.ndarray]
-    value: list[np.ndarray]
-
-    @staticmethod
-    def of(ids: list, texts: list[str | None], width: int = WINDOW) -> Items:
-        x = canonicalise(pa.array(texts, pa.string()))
-        sizes = np.diff(x.first)
-        total, tables = np.zeros(len(ids), np.int64), {}
-        for w in np.unique(np.minimum(sizes, width)).tolist():
-            if not w:
-                continue
-            hashes, good = windows(x, w)
-            row = np.repeat(np.arange(len(ids)), sizes)
-            at = np.flatnonzero(good & (np.minimum(sizes[row], width) == w))
-            order = np.argsort(hashes[at], kind="stable")
-            at = at[order]
-            tables[w] = (hashes[at], row[at], at - x.first[row[at]])
-            total += np.bincount(row[at], minlength=len(ids))
-        cut = lambda a: [a[i:j] for i, j in zip(x.first[:-1], x.first[1:], strict=True)]
-        return Items(ids, tables, total, cut(x.kind), cut(x.value))
-
-
-def slot_agreement(kind: np.ndarray, mine: np.ndarray, other_kind: np.ndarray, theirs: np.ndarray) -> tuple[int, float, bool]:
-    """Slots compared, share that replace consistently, and whether all values are equal.
+def _families(x: Canonical) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, kinds and rows' firsts of templates (family 0) and of plain words (1), whose hashes never meet."""
+    return [(x.template, x.kind, x.first), (x.word ^ np.uint64(0x5DEECE66D1234567), np.zeros(len(x.word), np.int64), x.first_word)]
+
+
+def _pattern(values: np.ndarray) -> np.ndarray:
+    """Each value as the place at which it is first met."""
+    _, at, inverse = np.unique(values, return_index=True, return_inverse=True)
+    return at[inverse]
+
+
+def _value_hash(kind: np.ndarray, value: np.ndarray) -> int:
+    slots = np.flatnonzero(kind > 0)
+    terms = mix(value[slots] + slots.astype(np.uint64))
+    return int(mix(terms.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
+_ITEM = "item_id long, class long, family int, width int, size int, value_hash long, kind array<int>, pattern array<int>, hashes array<long>, places array<int>"
+
+
+def describe_items(benchmark: DataFrame) -> DataFrame:
+    """Items with their class, windows and slots; items without words have none and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = canonicalise(batch.column("text"))
+            rows = []
+            for k in range(batch.num_rows):
+                for family, (token, kind, first) in enumerate(_families(x)):
+                    token, kind = token[first[k] : first[k + 1]], kind[first[k] : first[k + 1]]
+                    n = len(token)
+                    if not n:
+                        break
+                    hashes, good = windows(token, kind, np.array([0, n]), min(n, WINDOW))
+                    at = np.flatnonzero(good)
+                    if not len(at):
+                        continue
+                    value = x.value[x.first[k] : x.first[k + 1]] if family == 0 else token
+                    slots = np.flatnonzero(kind > 0)
+                    pattern = np.zeros(n, np.int64)
+                    pattern[slots] = _pattern(value[slots])
+                    place = np.arange(n, dtype=np.uint64)
+                    own = mix(mix(token + place) + mix(pattern.astype(np.uint64) + place)).sum(dtype=np.uint64, keepdims=True)
+                    rows.append((batch.column("item_id")[k].as_py(), int(mix(own + np.uint64(n)).view(np.int64)[0]), family, min(n, WINDOW), n, _value_hash(kind, value), kind.tolist(), pattern.tolist(), hashes[at].view(np.int64).tolist(), at.tolist()))
+                    break
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _ITEM.split(", ")])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, _ITEM)
+
+
+def bitmap(hashes: DataFrame, bits: int = BITMAP) -> np.ndarray:
+    """A bitmap of the column ``hash``; each task sends its own, and the driver joins them one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[batch.column("hash").to_numpy().view(np.uint64) % np.uint64(bits)] = True
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in hashes.select("hash").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(row["bits"], np.uint8)
+    return whole
+
+
+def _text_keys() -> list:
+    return [F.xxhash64("text").alias("key"), F.hash("text").alias("key2")]
+
+
+def window_hits(texts: DataFrame, known: np.ndarray, used: list[tuple[int, int]]) -> DataFrame:
+    """key, key2, hash, at: windows of texts, of the families and widths ``used``, that the bitmap doesn't rule out."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in slices(batches):
+            families = _families(canonicalise(batch.column("text")))
+            for family, width in used:
+                token, kind, first = families[family]
+                hashes, good = windows(token, kind, first, width)
+                at = np.flatnonzero(good)
+                at = at[bits[hashes[at] % np.uint64(len(bits))]]
+                row = np.searchsorted(first, at, side="right") - 1
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(taken), batch.column("key2").take(taken), pa.array(hashes[at].view(np.int64)), pa.array((at - first[row]).astype(np.int32))],
+                    names=["key", "key2", "hash", "at"],
+                )
+
+    return texts.mapInArrow(run, "key long, key2 int, hash long, at int")
+
+
+def slot_agreement(kind: np.ndarray, mine: np.ndarray, other_kind: np.ndarray, theirs: np.ndarray) -> tuple[int, float]:
+    """Slots compared, and the share that replace consistently.
 
     A slot is consistent if its type agrees and its value goes to the value that most of the
     item's slots with it go to, and back.
     """
     slots = np.flatnonzero((kind > 0) & (other_kind > 0))
     if not len(slots):
-        return 0, 1.0, True
+        return 0, 1.0
     there, back = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
     pairs = [(int(kind[i]), int(mine[i]), int(other_kind[i]), int(theirs[i])) for i in slots]
     for a, u, b, v in pairs:
@@ -154,81 +228,88 @@ def slot_agreement(kind: np.ndarray, mine: np.ndarray, other_kind: np.ndarray, t
         back[b, v][a, u] += 1
     top = lambda d: max(sorted(d), key=d.get)
     good = sum(a == b and top(there[a, u]) == (b, v) and top(back[b, v]) == (a, u) for a, u, b, v in pairs)
-    return len(slots), good / len(slots), all(u == v for _, u, _, v in pairs)
-
-
-def _matches(x: Canonical, items: Items) -> Iterator[tuple[int, int, int, int, int, float, bool]]:
-    """(row, item, matched windows, first token, slots, consistency, exact) for each row and item with a match."""
-    found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for width, (hashes, owner, place) in items.tables.items():
-        own, good = windows(x, width)
-        at = np.flatnonzero(good)
-        if not len(at) or not len(hashes):
-            continue
-        low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
-        hit = np.flatnonzero(high > low)
-        rows = np.searchsorted(x.first, at[hit], side="right") - 1
-        for r, k in zip(rows.tolist(), hit.tolist(), strict=True):
-            t = int(at[k])
-            for j in range(int(low[k]), int(high[k])):
-                found[r, int(owner[j])][t - int(place[j])].append(int(place[j]))
-    for (row, item), lines in found.items():
-        # an inserted or lost token shifts the alignment a little: lines near the best count too
-        best = max(sorted(lines), key=lambda d: len(lines[d]))
-        matched = len({p for d, own in lines.items() if abs(d - best) <= WINDOW for p in own})
-        size = len(items.kind[item])
-        a, b = max(best, int(x.first[row])), min(best + size, int(x.first[row + 1]))
-        mine = slice(a - best, b - best)
-        slots, share, exact = slot_agreement(items.kind[item][mine], items.value[item][mine], x.kind[a:b], x.value[a:b])
-        yield row, item, matched, best - int(x.first[row]), slots, share, exact and matched == items.total[item]
-
-
-_FOUND = "matched long, n_windows long, coverage double, first_token long, slots long, consistency double, exact boolean"
-
-
-def find_items(documents: DataFrame, benchmark: DataFrame, keys: list[str], coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """``keys`` and item_id of each document and item that it holds, with the measures of the match.
-
-    Items go to the executors in blocks of bounded size, each matched against all documents, so
-    neither side is ever multiplied by the other. Null and empty texts match nothing; an item
-    without words can't be found. Equal items are found each.
-    """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    schema = documents.select(*keys).schema
-    names = [f.name for f in schema]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Items.of([r["item_id"] for r in own], [r["text"] for r in own]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in slices(batches):
-                rows = []
-                for row, item, matched, first, slots, share, exact in _matches(canonicalise(batch.column("text")), items):
-                    part = matched / int(items.total[item])
-                    if part >= coverage and share >= consistency:
-                        rows.append((row, items.ids[item], matched, int(items.total[item]), part, first, slots, share, exact))
-                at = pa.array([r[0] for r in rows], pa.int64())
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-                columns = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(n).take(at) for n in names], *columns],
-                    names=[*names, "item_id", "matched", "n_windows", "coverage", "first_token", "slots", "consistency", "exact"],
-                )
+    return len(slots), good / len(slots)
+
 
-        part = documents.select(*keys, "text").mapInArrow(run, f"{kinds}, item_id long, {_FOUND}")
-        out = part if out is None else out.unionByName(part)
-    return out
+_SLOTS = "key long, key2 int, class long, first_token int, matched long, n_windows long, slots long, consistency double, value_hash long"
+
+
+def _compare_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        x, rows = canonicalise(batch.column("text")), []
+        for k, found in enumerate(batch.column("found").to_pylist()):
+            kind, value = x.kind[x.first[k] : x.first[k + 1]], x.value[x.first[k] : x.first[k + 1]]
+            for m in found:
+                line, own, pattern = m["line"], np.array(m["kind"]), np.array(m["pattern"])
+                slots, share, value_hash = 0, 1.0, _value_hash(own, np.zeros(len(own), np.uint64))
+                if m["family"] == 0:
+                    a, b = max(line, 0), min(line + len(own), len(kind))
+                    slots, share = slot_agreement(own[a - line : b - line], pattern[a - line : b - line], kind[a:b], value[a:b])
+                    value_hash = _value_hash(kind[a:b], value[a:b])
+                rows.append((batch.column("key")[k].as_py(), batch.column("key2")[k].as_py(), m["class"], line, m["matched"], m["n_windows"], slots, share, value_hash))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _SLOTS.split(", ")])
+
+
+def match_texts(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """key, key2 (of a different text), item_id, n_items and the measures of the match.
+
+    An item is named if its slots have the text's values, each of them if several have; else the
+    least item_id stands for the n_items of its class.
+    """
+    items = cut(describe_items(benchmark))
+    classes = cut(
+        items.groupBy("class").agg(
+            F.min("item_id").alias("least_id"), F.count(F.lit(1)).alias("n_items"),
+            F.max_by(F.struct("family", "kind", "pattern", "hashes", "places"), F.lit(0)).alias("own"),
+        ).select("class", "least_id", "n_items", "own.*")
+    )
+    known = classes.select("class", F.size("hashes").cast("long").alias("n_windows"), F.inline(F.arrays_zip("hashes", "places")).alias("hash", "place"))
+    used = sorted((r["family"], r["width"]) for r in items.select("family", "width").distinct().collect())
+    texts = documents.where("text is not null").select(*_text_keys(), "text")
+    hits = window_hits(texts, bitmap(known), used).distinct()
+    # where an item's window comes twice in it, each of its places counts
+    lines = hits.join(known, "hash").groupBy("key", "key2", "class", "n_windows", (F.col("at") - F.col("place")).alias("line")).agg(F.collect_set("place").alias("places"))
+    lines = cut(lines)
+    best = lines.groupBy("key", "key2", "class").agg(F.min(F.struct((-F.size("places")).alias("n"), "line")).alias("b")).select("key", "key2", "class", F.col("b.line").alias("best"))
+    # an inserted or lost token shifts the alignment a little: lines near the best count too
+    near = lines.join(best, ["key", "key2", "class"]).where(F.abs(F.col("line") - F.col("best")) <= WINDOW)
+    near = near.groupBy("key", "key2", "class", "n_windows", "best").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"))
+    near = near.where(F.col("matched") >= coverage * F.col("n_windows"))
+    found = near.join(classes.select("class", "family", "kind", "pattern"), "class").groupBy("key", "key2").agg(
+        F.collect_list(F.struct("class", "family", "kind", "pattern", F.col("best").alias("line"), "matched", "n_windows")).alias("found")
+    )
+    found = cut(found)
+    held = texts.join(found.select("key", "key2"), ["key", "key2"], "left_semi").dropDuplicates(["key", "key2"])
+    slots = held.join(found, ["key", "key2"]).mapInArrow(_compare_slots, _SLOTS).where(F.col("consistency") >= consistency)
+    named = items.select("class", "value_hash", "item_id", F.lit(True).alias("named"))
+    rows = slots.join(named, ["class", "value_hash"], "left").join(classes.select("class", "least_id", "n_items"), "class")
+    return rows.select(
+        "key", "key2", F.when(F.col("named"), F.col("item_id")).otherwise(F.col("least_id")).alias("item_id"), "n_items", "matched", "n_windows",
+        (F.col("matched") / F.col("n_windows")).alias("coverage"), "first_token", "slots", "consistency",
+        (F.coalesce("named", F.lit(False)) & (F.col("matched") == F.col("n_windows"))).alias("exact"),
+    )
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that it holds.
+    """One row per document and benchmark item, or class of items, that it holds: doc_id, item_id and measures.
+
+    Equal items are found each. Null and empty texts match nothing; very long ones are searched
+    whole; an item without words can't be found. Repeated rows and null ids are reported as often as
+    they occur; of alignments with as many windows the first counts. Other columns, whatever their
+    names, are ignored; an empty table on either side gives an empty result.
+    """
+    found = match_texts(documents, benchmark)
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys())
+    return ids.join(found, ["key", "key2"]).drop("key", "key2")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows whose text holds no benchmark item, all columns as they were, whatever their names.
 
-    Repeated rows are reported as often as they occur; other columns are ignored; an empty table
-    on either side gives an empty result.
+    Rows go by their own text, so repeated and null ids do no harm; null texts stay.
     """
-    return find_items(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+    found = cut(match_texts(documents, benchmark).select("key", "key2").distinct())
+    whole = documents.select(*_text_keys(), F.struct(*documents.columns).alias("row"), "text")
+    left = whole.join(found.withColumn("text", F.lit("")), (whole["key"] == found["key"]) & (whole["key2"] == found["key2"]) & whole["text"].isNotNull(), "left_anti")
+    return left.select("row.*")
