@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import shared_folder, table
-from pathloom.llm.decontaminate import contaminated
+from pathloom.llm.decontaminate import without_contaminated
 from pathloom.llm.neardup import one_of_each_class
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.passages import without_repeats
@@ -40,9 +40,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Documents that hold no benchmark item. Rows go by their own text, so ids may be null or repeated."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
