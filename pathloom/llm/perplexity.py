@@ -1,168 +1,209 @@
-"""Cross-entropy difference by matched n-gram models of a target and a background corpus.
-
-Both models have one vocabulary (48 symbols that all text is mapped to), one order and one
-smoothing: a symbol's probability after three others is smoothed towards that after two,
-and so on down to the uniform one. Counts cover every position of every text. A document's
-score is its mean loss per token under the target model less that under the background
-model: the lower, the more it is like the target.
+"""Cross-entropy difference by matched bigram models of a target and a background corpus.
+
+Both models have one vocabulary (words, hashed to VOCABULARY ids), one order and one smoothing: a
+word's probability after the word before it is smoothed towards that of the word alone, and this
+towards the uniform one. The target corpus and all other documents, the background, share no
+document, and a document's own counts are left out of the model that it belongs to, so it is never
+scored by itself. Its score is its mean loss per word under the target model less that under the
+background model: the lower, the more it is like the target.
+
+Counts cover every word of every text and stay distributed. Documents are dealt to blocks of
+bounded size; a block counts its own n-grams and sends them, sorted and packed, to the parts of
+the hash range. A part adds them up and returns to each block the totals of the n-grams that other
+blocks have too. Blocks and parts grow in number with the corpus, not in size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import mix, slices, utf8, word_spans, words
 
-ORDER = 4
-#: 26 letters, digits as one, space, line feed, full stop, comma, other ASCII, and 16 classes of other bytes.
-SYMBOLS = 48
+#: Ids that words are hashed to.
+VOCABULARY = 1 << 24
 #: Pseudo-counts given to the next lower order.
 PRIOR = 2.0
+#: Text bytes of a block, and words whose n-grams make a part of the hash range.
+BLOCK, PART = 1 << 23, 1 << 22
+#: Bits of an n-gram's hash.
+HASH_BITS = 56
 
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[:128] = 31
-_SYMBOL[[*range(97, 123)]] = np.arange(26)
-_SYMBOL[[*range(65, 91)]] = np.arange(26)
-_SYMBOL[48:58] = 26
-_SYMBOL[[32, 9]] = 27
-_SYMBOL[10] = 28
-_SYMBOL[46] = 29
-_SYMBOL[44] = 30
-_SYMBOL[128:] = 32 + np.arange(128) % 16
-_START = 28
-
-
-def codes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each token of all rows, as a number, and where each row starts.
-
-    Tokens are the symbols of lower-cased text; before a text stand line feeds.
-    """
-    data, offsets = utf8(pc.utf8_lower(pc.fill_null(array, "")))
-    symbol = _SYMBOL[data]
-    out = symbol.copy()
-    for back in range(1, ORDER):
-        shifted = np.full(len(symbol), _START)
-        shifted[back:] = symbol[:-back] if back <= len(symbol) else 0
-        for begin in range(back):  # what lies before a text is not its neighbour's end
-            at = offsets[:-1] + begin
-            at = at[at < offsets[1:]]
-            shifted[at] = _START
-        out += shifted * SYMBOLS**back
-    return out.astype(np.int32), offsets
-
-
-@dataclass(frozen=True)
-class LossTables:
-    """Loss in nats of each n-gram's last symbol under either model."""
-
-    target: np.ndarray
-    background: np.ndarray
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p of each n-gram's last symbol given the others, from counts of n-grams."""
-    shape = (SYMBOLS,) * ORDER
-    p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-    c = counts.reshape(shape).astype(np.float32)
-    for n in range(1, ORDER + 1):
-        own = c.sum(axis=tuple(range(ORDER - n))) if n < ORDER else c
-        p = (own + PRIOR * p) / (own.sum(axis=-1, keepdims=True) + PRIOR)
-    return -np.log(p).astype(np.float32).ravel()
-
-
-def count_ngrams(documents: DataFrame) -> DataFrame:
-    """code, background, target: counts of all n-grams in all texts, and in those marked ``_target``.
-
-    Each task sums its own partition before the exchange; the result has at most 48**4 rows.
-    """
+_START = np.uint64(VOCABULARY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = SYMBOLS**ORDER
-        seen, wanted = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        held: list[list[np.ndarray]] = [[], []]
 
-        def add() -> None:
-            for into, parts in ((seen, held[0]), (wanted, held[1])):
-                if parts:
-                    into += np.bincount(np.concatenate(parts), minlength=size)
-                    parts.clear()
+def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of word and bigram at each word of all rows, of the word before it, and each word's row.
 
-        pending = 0
-        for batch in slices(batches):
-            found, at = codes(batch.column("text"))
-            held[0].append(found)
-            inside = np.repeat(batch.column("_target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            if inside.any():
-                held[1].append(found[inside])
-            pending += len(found)
-            if pending > 1 << 21:
-                add()
-                pending = 0
-        add()
-        some = np.flatnonzero(seen)
-        for k in range(0, len(some), 1 << 17):
-            own = some[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.array(seen[own]), pa.array(wanted[own])], names=["code", "background", "target"]
-            )
-
-    partial = documents.select("text", "_target").mapInArrow(run, "code int, background long, target long")
-    return partial.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def fit(documents: DataFrame) -> LossTables:
-    """Loss tables from documents with a boolean ``_target``; the tables' size does not depend on the input."""
-    table = count_ngrams(documents).toArrow()
-    code = table.column("code").to_numpy()
-    out = []
-    for name in ("target", "background"):
-        counts = np.zeros(SYMBOLS**ORDER, np.float64)
-        counts[code] = table.column(name).to_numpy()
-        out.append(losses(counts))
-        del counts
-    return LossTables(*out)
-
-
-def score(documents: DataFrame, tables: LossTables) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference (nats per token).
-
-    The losses of a null or empty text, which has no token, are null.
+    Before a text stands a start sign, which is a word before, but never a word.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    ids = hashes >> np.uint64(40)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    before = np.full(len(ids), _START)
+    before[1:] = ids[:-1]
+    before[first[:-1][np.diff(first) > 0]] = _START
+    cut = np.uint64(64 - HASH_BITS)
+    one = lambda x: mix(x + np.uint64(0xA24BAED4963EE407)) >> cut
+    two = mix(mix(before + np.uint64(0x9FB21C651E98DF25)) + ids) >> cut
+    return one(ids), two, one(before), row
+
+
+def pack(grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Sorted hashes as differences of as many bytes as the largest needs, and both counts."""
+    steps = np.diff(grams, prepend=np.uint64(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    parts = [len(grams).to_bytes(8, "little"), bytes([width]), body]
+    for c in counts:
+        kind = next(k for k in ("u1", "<u4", "<u8") if int(c.max(initial=0)) < 1 << (8 * np.dtype(k).itemsize))
+        parts += [bytes([np.dtype(kind).itemsize]), c.astype(kind).tobytes()]
+    return b"".join(parts)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, width, at = int.from_bytes(data[:8], "little"), data[8], 9
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+    at += n * width
+    out = [np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)]
+    for _ in range(2):
+        size = data[at]
+        out.append(np.frombuffer(data, f"<u{size}", n, at + 1).astype(np.int64))
+        at += 1 + n * size
+    return out[0], out[1], out[2]
+
+
+def _block_rows(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids and texts of a block's documents, and whether each is in the target, by the block's labels."""
+    labels = rows.filter(pa.compute.equal(rows.column("kind"), 0)).column("doc_id")
+    docs = rows.filter(pa.compute.equal(rows.column("kind"), 1)).combine_chunks()
+    ids = docs.column("doc_id").combine_chunks()
+    target = pa.compute.and_(pa.compute.is_in(ids, value_set=labels.combine_chunks().drop_null()), ids.is_valid())
+    return ids, docs.column("text").combine_chunks(), np.asarray(target.to_numpy(zero_copy_only=False), bool)
+
+
+def _counted(texts: pa.Array, target: np.ndarray):
+    """A block's n-grams: (words, bigrams, words before, rows), and all different hashes with both counts."""
+    hashes, first = words(texts)
+    one, two, before, row = ngrams(hashes, first)
+    starts = np.flatnonzero(np.diff(first) > 0)
+    start = mix(np.array([_START]) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - HASH_BITS)
+    every = np.concatenate([one, two, np.repeat(start, len(starts))])
+    inside = target[np.concatenate([row, row, starts])]
+    known, place = np.unique(every, return_inverse=True)
+    counts = (np.bincount(place[~inside], minlength=len(known)), np.bincount(place[inside], minlength=len(known)))
+    return (one, two, before, row, first), known, counts
+
+
+def _sends(parts: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        _, texts, target = _block_rows(rows)
+        _, known, counts = _counted(texts, target)
+        part = ((known >> np.uint64(HASH_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(edges))
+        packed = [pack(known[a:b], (counts[0][a:b], counts[1][a:b])) for a, b in zip(edges[some], edges[some + 1], strict=True)]
+        return pa.table({"part": pa.array(some, pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()), "grams": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _returns(key: tuple, rows: pa.Table) -> pa.Table:
+    """For each block of a part: its n-grams that others have too, with the totals."""
+    blocks = rows.column("block").to_pylist()
+    own = [unpack(x.as_py()) for x in rows.column("grams")]
+    every = np.concatenate([x[0] for x in own])
+    known, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    totals = [np.bincount(place, np.concatenate([x[k] for x in own]), len(known)).astype(np.int64) for k in (1, 2)]
+    out, at = [], 0
+    for grams, *_ in own:
+        here = place[at : at + len(grams)]
+        at += len(grams)
+        here = here[times[here] > 1]
+        out.append(pack(known[here], (totals[0][here], totals[1][here])))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "totals": pa.array(out, pa.binary())})
+
+
+def _scores(background: int, target_words: int):
+    size = (background, target_words)
+
+    def run(key: tuple, rows: pa.Table, returned: pa.Table) -> pa.Table:
+        ids, texts, target = _block_rows(rows)
+        (one, two, before, row, first), known, own = _counted(texts, target)
+        whole = [c.copy() for c in own]
+        for data in returned.column("totals"):
+            grams, *totals = unpack(data.as_py())
+            at = np.searchsorted(known, grams)
+            for k in (0, 1):
+                whole[k][at] = totals[k]
+        n = np.diff(first)
+        # what the word's own document adds to each count is left out of its own model
+        stride = np.int64(max(1, len(n)))
+        at = {name: np.searchsorted(known, x) for name, x in (("one", one), ("two", two), ("before", before))}
+        places = np.concatenate([at["one"], at["two"]]).astype(np.int64) * stride + np.concatenate([row, row])
+        pairs, times = np.unique(places, return_counts=True)
+
+        def mine(name: str) -> np.ndarray:
+            wanted = at[name].astype(np.int64) * stride + row
+            k = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
+            return np.where(pairs[k] == wanted, times[k], 1) if len(pairs) else np.zeros(0)  # a start sign comes once
+
+        less = {name: mine(name) for name in at}
+        means = []
+        for k in (0, 1):
+            belongs = target[row] == bool(k)
+            count = {name: whole[k][at[name]] - np.where(belongs, less[name], 0) for name in at}
+            total = size[k] - np.where(belongs, n[row], 0)
+            p = (count["one"] + PRIOR / VOCABULARY) / (total + PRIOR)
+            p = (count["two"] + PRIOR * p) / (count["before"] + PRIOR)
+            loss = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+            means.append((loss[first[1:]] - loss[first[:-1]]) / np.maximum(n, 1))
+        names = ("target_loss", "background_loss", "difference")
+        columns = {c: pa.array(x, pa.float64(), mask=n == 0) for c, x in zip(names, (means[1], means[0], means[1] - means[0]), strict=True)}
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), **columns})
+
+    return run
+
+
+def _sizes(documents: DataFrame) -> DataFrame:
+    """doc_id, n (words) and bytes of each row."""
+
+    def run(batches):
         for batch in slices(batches):
-            found, at = codes(batch.column("text"))
-            n = np.diff(at)
-            means = []
-            for loss in (own.target, own.background):
-                total = np.concatenate([[0.0], np.cumsum(loss[found], dtype=np.float64)])
-                means.append((total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1))
-            columns = [pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
-            )
+            data, offsets = utf8(batch.column("text"))
+            _, _, first = word_spans(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(offsets))], names=["doc_id", "n", "bytes"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bytes long")
 
 
 def cross_entropy_difference(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all documents; the target corpus is the documents labelled with quality 1.
+    """doc_id, n_tokens, target_loss, background_loss, difference (nats per word) of all documents.
 
-    Without labels the target model is uniform. Repeated rows are scored and counted as often as
-    they occur; other columns are ignored; an empty table gives an empty result.
+    The target corpus is the documents labelled with quality 1 at least once. Without any its model
+    is uniform. Null and empty texts, and others without words, have null losses; very long ones are
+    scored whole. Repeated rows are scored and counted as often as they occur, and leave out only
+    themselves; null ids are background. Other columns, whatever their names, are ignored; an empty
+    table gives an empty result.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
-    # labels grow with the corpus: the plan that holds for large ones is used for all
-    marked = documents.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    tables = fit(marked.select("text", F.coalesce("_target", F.lit(False)).alias("_target")))
-    return score(documents, tables)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marks = good.withColumn("_target", F.lit(1))
+    sizes = _sizes(docs).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).join(marks, "doc_id", "left")
+    by = {r["t"]: r for r in sizes.groupBy(F.coalesce("_target", F.lit(0)).alias("t")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    total = [by[k]["n"] if k in by else 0 for k in (0, 1)]
+    blocks = max(1, math.ceil(sum(r["bytes"] for r in by.values()) / BLOCK))
+    parts = max(1, math.ceil(sum(total) / PART))
+    # labels go to the block of their document; a row without id has none and goes by its text
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
+    rows = docs.select(block(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(1).alias("kind"), "doc_id", "text")
+    rows = rows.unionByName(good.select(block(F.col("doc_id")), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("string").alias("text")))
+    dealt = rows.groupBy("block")
+    sent = dealt.applyInArrow(_sends(parts), "part long, block long, grams binary")
+    returned = sent.groupBy("part").applyInArrow(_returns, "block long, totals binary")
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+    return dealt.cogroup(returned.groupBy("block")).applyInArrow(_scores(*total), schema)
