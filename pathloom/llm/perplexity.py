@@ -36,8 +36,8 @@ HASH_BITS = 56
 _START = np.uint64(VOCABULARY)
 
 
-def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of word and bigram at each word of all rows, of the word before it, and each word's row.
+def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of word and bigram at each word of all rows, and each word's row.
 
     Before a text stands a start sign, which is a word before, but never a word.
     """
@@ -49,7 +49,7 @@ def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = np.uint64(64 - HASH_BITS)
     one = lambda x: mix(x + np.uint64(0xA24BAED4963EE407)) >> cut
     two = mix(mix(before + np.uint64(0x9FB21C651E98DF25)) + ids) >> cut
-    return one(ids), two, one(before), row
+    return one(ids), two, row
 
 
 def pack(grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -87,22 +87,22 @@ def _block_rows(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
 
 
 def _counted(texts: pa.Array, target: np.ndarray):
-    """A block's n-grams: (words, bigrams, words before, rows), and all different hashes with both counts."""
+    """A block's different n-grams with both counts, the places of each word and bigram among them, and words' rows."""
     hashes, first = words(texts)
-    one, two, before, row = ngrams(hashes, first)
+    one, two, row = ngrams(hashes, first)
     starts = np.flatnonzero(np.diff(first) > 0)
     start = mix(np.array([_START]) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - HASH_BITS)
     every = np.concatenate([one, two, np.repeat(start, len(starts))])
     inside = target[np.concatenate([row, row, starts])]
     known, place = np.unique(every, return_inverse=True)
     counts = (np.bincount(place[~inside], minlength=len(known)), np.bincount(place[inside], minlength=len(known)))
-    return (one, two, before, row, first), known, counts
+    return known, counts, place, row, first
 
 
 def _sends(parts: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         _, texts, target = _block_rows(rows)
-        _, known, counts = _counted(texts, target)
+        known, counts, *_ = _counted(texts, target)
         part = ((known >> np.uint64(HASH_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
         edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(edges))
@@ -133,26 +133,22 @@ def _scores(background: int, target_words: int):
 
     def run(key: tuple, rows: pa.Table, returned: pa.Table) -> pa.Table:
         ids, texts, target = _block_rows(rows)
-        (one, two, before, row, first), known, own = _counted(texts, target)
+        known, own, place, row, first = _counted(texts, target)
         whole = [c.copy() for c in own]
         for data in returned.column("totals"):
             grams, *totals = unpack(data.as_py())
             at = np.searchsorted(known, grams)
             for k in (0, 1):
                 whole[k][at] = totals[k]
-        n = np.diff(first)
+        n, m = np.diff(first), len(row)
         # what the word's own document adds to each count is left out of its own model
-        stride = np.int64(max(1, len(n)))
-        at = {name: np.searchsorted(known, x) for name, x in (("one", one), ("two", two), ("before", before))}
-        places = np.concatenate([at["one"], at["two"]]).astype(np.int64) * stride + np.concatenate([row, row])
-        pairs, times = np.unique(places, return_counts=True)
-
-        def mine(name: str) -> np.ndarray:
-            wanted = at[name].astype(np.int64) * stride + row
-            k = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
-            return np.where(pairs[k] == wanted, times[k], 1) if len(pairs) else np.zeros(0)  # a start sign comes once
-
-        less = {name: mine(name) for name in at}
+        _, inverse, times = np.unique(place[: 2 * m] * np.int64(max(1, len(n))) + np.concatenate([row, row]), return_inverse=True, return_counts=True)
+        at, less = {"one": place[:m], "two": place[m : 2 * m]}, {"one": times[inverse[:m]], "two": times[inverse[m:]]}
+        # the word before, or a start sign, which a document has once
+        heads = first[:-1][n > 0]
+        for x, start in ((at, place[2 * m] if len(heads) else 0), (less, 1)):
+            x["before"] = np.concatenate([x["one"][:1], x["one"][:-1]])
+            x["before"][heads] = start
         means = []
         for k in (0, 1):
             belongs = target[row] == bool(k)
