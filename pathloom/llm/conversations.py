@@ -1,11 +1,12 @@
 """Reply-ordered conversations by linking quotations to the messages they quote.
 
 Lines that begin with ``>`` are quoted, as deep as there are marks; a line that announces a
-quotation goes with it. The other lines are the message's own. Quoted lines, normalised, are
-hashed and joined to the first own line of their conversation with that hash: a message replies
-to the earlier message that most of its once-quoted lines come from (of several, the latest).
-A message without such a link continues from the turn before it, if there is one. Roots and
-depths follow from the links by pointer jumping.
+quotation goes with it. The other lines are the message's own, level 0. Lines, normalised, are
+hashed, and a line quoted at level k is joined to the messages of its conversation that have it at
+level k - 1: to the first one and to the last one before it. A message replies to the earlier
+message that most of its quoted lines are linked to (of several, the latest). A message without
+such a link continues from the turn before it, if there is one. Roots and depths follow from the
+links by pointer jumping.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, span_hashes, utf8
 
+#: Turns of a conversation that one task looks back over.
+STEP = 4096
+
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ANNOUNCES = re.compile(r"\s*(?:on\b.*|.*)\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
 _BLANK = re.compile(r"\n[ \t]*\n(?:[ \t]*\n)+")
@@ -87,14 +91,36 @@ def lines(messages: DataFrame) -> DataFrame:
     return messages.mapInArrow(run, _LINE)
 
 
+def last_before(rows: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
+    """``rows`` with ``said``, the greatest earlier ``turn`` of a row with these keys that is ``wanted``.
+
+    Turns are taken in steps of STEP, so a long group is read by several tasks: rows look back
+    within their step, and to the last wanted turn of the steps before.
+    """
+    stepped = rows.withColumn("_step", F.floor(F.col("turn") / STEP)).withColumn("_wanted", F.when(wanted, F.col("turn")))
+    within = Window.partitionBy(*keys, "_step").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    stepped = stepped.withColumn("_near", F.max("_wanted").over(within))
+    ends = stepped.where("_wanted is not null").groupBy(*keys, "_step").agg(F.max("_wanted").alias("_end"))
+    steps = stepped.select(*keys, "_step").distinct().join(ends, [*keys, "_step"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_step").rangeBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*keys, "_step", F.max("_end").over(earlier).alias("_far"))
+    return stepped.join(steps, [*keys, "_step"]).withColumn("said", F.coalesce("_near", "_far")).drop("_step", "_wanted", "_near", "_far")
+
+
 def quotation_links(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, reply_to, n_linked: the message that each message quotes most at level 1."""
+    """conv_id, turn, reply_to, n_linked: the message that each message quotes most."""
     found = cut(lines(messages).where("conv_id is not null and turn is not null").distinct())
-    quotes = found.where("level = 1").drop("level")
-    origin = found.where("level = 0").groupBy("conv_id", "line").agg(F.min("turn").alias("said"))
-    origin = origin.join(quotes.select("conv_id", "line").distinct(), ["conv_id", "line"], "left_semi")
-    met = quotes.join(cut(origin), ["conv_id", "line"]).where("said < turn")
-    votes = met.groupBy("conv_id", "turn", "said").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["conv_id", "line", "level"]
+    quotes = found.where("level > 0")
+    lines_quoted = quotes.select(*keys).distinct()
+    holders = found.withColumn("level", F.col("level") + 1).join(lines_quoted, keys, "left_semi")
+    holders = cut(holders)
+    first = holders.groupBy(*keys).agg(F.min("turn").alias("said"))
+    # a line that is quoted and held by one message is looked up for its turn once
+    both = quotes.withColumn("_quote", F.lit(True)).unionByName(holders.withColumn("_quote", F.lit(False)))
+    met = last_before(both, keys, ~F.col("_quote")).where("_quote and said is not null").select("conv_id", "turn", "line", "level", "said")
+    origin = quotes.join(first, keys).where("said < turn").select("conv_id", "turn", "line", "level", "said")
+    votes = met.union(origin).distinct().groupBy("conv_id", "turn", "said").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "said")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.said").alias("reply_to"), F.col("best.n").alias("n_linked"))
 
@@ -141,15 +167,16 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     by root_turn, turn puts every message after the one it replies to.
 
     Rows that share a conversation and a turn share their links and are all returned. Rows with a
-    null conversation or turn have no links (root_turn is their turn, depth 0). Null texts are
-    empty; other columns are ignored; an empty table gives an empty result. No conversation is
-    gathered in one task: all joins are by conversation and turn or line.
+    null conversation or turn have no links (root_turn is their turn, depth 0). Turns may have gaps.
+    Null texts are empty, very long ones are parsed whole; other columns, whatever their names, are
+    ignored; an empty table gives an empty result. No conversation is gathered in one task: joins
+    are by conversation and turn or line, and looking back goes in steps of STEP turns.
     """
     messages = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     links = cut(quotation_links(messages))
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    parents = turns.join(links, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
+    before = last_before(turns, ["conv_id"], F.lit(True)).withColumnRenamed("said", "previous")
+    parents = before.join(links, ["conv_id", "turn"], "left")
     parents = cut(parents.select("conv_id", "turn", F.coalesce("reply_to", "previous").alias("parent"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
     placed = parents.join(_roots(parents), ["conv_id", "turn"])
     placed = cut(placed.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("parent").alias("reply_to"), "n_linked", "root_turn", "depth"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, slices, utf8
@@ -23,8 +23,9 @@ from .common import mix, slices, utf8
 UNKNOWN = "und"
 #: Hashed n-gram dimensions.
 DIMENSIONS = 1 << 12
-#: The model is fitted on at most so many labelled rows per language (the ones with the least hashes).
-SAMPLE_PER_LANGUAGE = 600
+#: The model is fitted on at most so many different texts per language (the ones with the least hashes),
+#: none of them of more bytes than SAMPLE_TEXT.
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXT = 600, 1 << 17
 #: Centroids per language, and the share of training texts farther away than the rejection distance.
 CENTROIDS, REJECTED_SHARE = 4, 0.001
 
@@ -94,20 +95,27 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return centres
 
 
-def sample(rows: DataFrame, label: str, most: int) -> list:
-    """At most ``most`` rows of each label value: those with the least hashes of their text.
+def sample(rows: DataFrame, label: str, most: int, longest: int = SAMPLE_TEXT) -> tuple[list, dict]:
+    """At most ``most`` different texts of each label value, those with the least hashes, and rows by label.
 
-    Each task keeps at most that many rows a label, so what reaches the driver is bounded.
+    Texts of more than ``longest`` bytes are not drawn, so what reaches the driver is bounded in
+    bytes as well. A text counts once however often it occurs, so copies don't crowd the sample.
     """
-    hashed = rows.select(label, "text", F.xxhash64("text", F.lit(17)).alias("_h"))
-    # the smallest hashes of a label by a bounded aggregate, so that no label is gathered in one task
-    least = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    kept = []
-    for row in least:
-        share = min(1.0, 1.3 * most / row["n"] + 20 / row["n"])
-        edge = int((share * 2 - 1) * (1 << 63)) if share < 1 else (1 << 63) - 1
-        kept += hashed.where((F.col(label) == F.lit(row[label])) & (F.col("_h") <= F.lit(edge))).orderBy("_h").limit(most).collect()
-    return kept
+    hashed = rows.select(label, "text", F.when(F.octet_length("text") <= longest, F.xxhash64("text", F.lit(17))).alias("_h"))
+    sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h", 0.02).alias("d")).collect()
+    totals = {r[label]: r["n"] for r in sizes}
+    if not totals:
+        return [], totals
+    edges = []
+    for row in sizes:
+        share = min(1.0, (1.2 * most + 5 * most**0.5 + 20) / max(1, row["d"]))
+        edges.append((row[label], int((share * 2 - 1) * (1 << 63)) if share < 1 else (1 << 63) - 1))
+    kind = rows.schema[label].dataType.simpleString()
+    bound = F.broadcast(rows.sparkSession.createDataFrame(edges, f"{label} {kind}, _edge long"))  # a row a label
+    near = hashed.join(bound, label).where("_h <= _edge").groupBy(label, "_h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy(label).orderBy("_h", "text")
+    kept = near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).orderBy(label, "_k")
+    return kept.select(label, "text").collect(), totals
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, seed: int = 5) -> LanguageModel:
@@ -116,7 +124,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE, centroids: int = C
     The sample that reaches the driver is at most ``most`` rows a language. Without rows the
     model has no language.
     """
-    rows = sample(labelled.where("lang is not null and text is not null and text != ''"), "lang", most)
+    rows, _ = sample(labelled.where("lang is not null and text is not null and text != ''"), "lang", most)
     languages = tuple(sorted({r["lang"] for r in rows}))
     grams, some = counts(pa.array([r["text"] for r in rows], pa.string()))
     names = np.array([languages.index(r["lang"]) for r in rows], int)
@@ -178,8 +186,9 @@ def remainder(key: Column, n: int) -> Column:
 def identify(documents: DataFrame) -> DataFrame:
     """Predictions for all documents, learned from those whose crc32(doc_id) mod 5 is not 0.
 
-    Null and empty texts are ``und``. Repeated rows and null ids (held out) are kept; other
-    columns are ignored; an empty table gives an empty result.
+    Null and empty texts are ``und``. Very long texts are counted whole. Of centroids with the same
+    cosine the first language in alphabetical order counts. Repeated rows and null ids (held out)
+    are kept; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     docs = documents.select("doc_id", "text", "lang")
     fold = remainder(F.col("doc_id"), 5)

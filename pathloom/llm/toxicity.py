@@ -24,7 +24,7 @@ from .language import remainder, sample
 FEATURES = 1 << 20
 #: Besides whole words, their beginnings of so many bytes.
 BEGINNINGS = (4, 5, 6)
-#: The model is fitted on at most so many labelled rows of each class (the ones with the least hashes).
+#: The model is fitted on at most so many different texts of each class (the ones with the least hashes).
 SAMPLE_PER_CLASS = 2_500
 #: Documents are rejected from this score on.
 THRESHOLD = 0.3
@@ -104,10 +104,9 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_CLASS, epochs: int = 60, rid
     true shares. Without both classes every score is 0.
     """
     usable = labelled.where("toxic in (0, 1) and text is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
+    rows, totals = sample(usable, "toxic", most)
+    if len({r["toxic"] for r in rows}) < 2:
         return ToxicityModel(np.zeros(FEATURES), -30.0)
-    rows = sample(usable, "toxic", most)
     y = np.array([r["toxic"] for r in rows], float)
     parts = [pa.array([r["text"] for r in rows[i : i + 100]], pa.string()) for i in range(0, len(rows), 100)]
     del rows
@@ -191,8 +190,9 @@ def train(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents: doc_id, held_out, score, predicted, offending.
 
-    Repeated rows and null ids are kept; a null id is not held out. Other columns are ignored;
-    an empty table gives an empty result.
+    Null and empty texts score 0; very long ones are read whole. A document with labels 0 and 1
+    trains on both. Repeated rows and null ids are kept; a null id is not held out. Other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
     found = score(documents.select("doc_id", "text"), train(documents, labels), ["doc_id"])
     return found.select(

@@ -49,3 +49,27 @@ def test_ties_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a a a a"), (1, "b b b b"), (None, "c c c c"), (1, "a a a a")], "doc_id long, text string")
     got = fp.edited_fingerprints(df).collect()
     assert len(got) == 4 and len({r["fingerprint"] for r in got}) == 3
+
+
+def test_lanes_against_an_independent_sum(spark):
+    """Identity lanes from hashlib, likeness from signs of a hash that Spark gives for each run of three words."""
+
+    texts = ["one two three four\nfive six", "", "one two three four", "five six\none two three four", "a b c d e f g h " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["fingerprint"] for r in fp.fingerprint_documents(df, ["k"]).collect()}
+    assert got[0] == got[3] and len(set(got.values())) == 4
+    for k, text in enumerate(texts):
+        lanes, signs = [0] * fp.IDENTITY, [0] * fp.LANES
+        for paragraph in text.split("\n"):
+            digest = hashlib.sha256(paragraph.encode()).digest()
+            lanes = [(x + int.from_bytes(digest[4 * i : 4 * i + 4], "big")) % 2**32 for i, x in enumerate(lanes)]
+            w = paragraph.split(" ")
+            runs = [(w[i], *((w[i + j] if i + j < len(w) else None) for j in (1, 2))) for i in range(len(w))]
+            hashes = spark.createDataFrame(runs, "a string, b string, c string").select(F.xxhash64("a", "b", "c").alias("h")).select("h", F.xxhash64("h").alias("g")).collect()
+            for r in hashes:
+                for part, h in enumerate((r["h"] % 2**64, r["g"] % 2**64)):
+                    for s in range(32):
+                        signs[part * 32 + s] += 1 if h >> s & 1 else -1
+                        signs[64 + part * 32 + s] += 1 if h >> (s + 32) & 1 else -1
+        assert got[k][fp.LANES * 4 :] == "".join(f"{x:08x}" for x in lanes)
+        assert got[k][: fp.LANES * 4] == "".join(f"{x % 2**16:04x}" for x in signs)

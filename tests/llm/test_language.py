@@ -41,3 +41,12 @@ def test_rejection_of_foreign_text(spark):
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
     far = language.predict(spark.createDataFrame([("zzxxqq vvkkjj yyww", 1), ("the tree of the house", 2)], "text string, k int"), model, ["k"])
     assert {r["k"]: r["rejected"] for r in far.collect()} == {1: True, 2: False}
+
+
+def test_copies_do_not_crowd_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(3000).select(F.concat(F.lit("text "), "id").alias("text"), F.lit("xx").alias("lang"))
+    rows = texts.union(spark.range(3000).select(F.lit("one hot text"), F.lit("xx"))).union(spark.range(5).select(F.lit("y" * 200_000), F.lit("yy")))
+    drawn, totals = language.sample(rows, "lang", 600)
+    assert len(drawn) == len({r["text"] for r in drawn}) == 600 and totals == {"xx": 6000, "yy": 5}
