@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .coder import read_varints, varints
 from .common import mix, slices, utf8, word_spans, words
 
 #: Ids that words are hashed to.
@@ -29,15 +30,15 @@ VOCABULARY = 1 << 24
 #: Pseudo-counts given to the next lower order.
 PRIOR = 2.0
 #: Text bytes of a block, and words whose n-grams make a part of the hash range.
-BLOCK, PART = 1 << 23, 1 << 22
-#: Bits of an n-gram's hash.
-HASH_BITS = 56
+BLOCK, PART = 1 << 22, 1 << 21
+#: A hash has so many bits more than the number of words has, so that one n-gram in a million meets another.
+SPARE_BITS = 21
 
 _START = np.uint64(VOCABULARY)
 
 
-def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of word and bigram at each word of all rows, and each word's row.
+def ngrams(hashes: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of ``bits`` bits of word and bigram at each word of all rows, and each word's row.
 
     Before a text stands a start sign, which is a word before, but never a word.
     """
@@ -46,35 +47,35 @@ def ngrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = np.full(len(ids), _START)
     before[1:] = ids[:-1]
     before[first[:-1][np.diff(first) > 0]] = _START
-    cut = np.uint64(64 - HASH_BITS)
+    cut = np.uint64(64 - bits)
     one = lambda x: mix(x + np.uint64(0xA24BAED4963EE407)) >> cut
     two = mix(mix(before + np.uint64(0x9FB21C651E98DF25)) + ids) >> cut
     return one(ids), two, row
 
 
 def pack(grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """Sorted hashes as differences of as many bytes as the largest needs, and both counts."""
+    """Sorted hashes as differences, of as many bytes as nearly all of them need, and both counts."""
     steps = np.diff(grams, prepend=np.uint64(0))
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    width = 8 if len(steps) < 64 else max(1, -(-int(np.partition(steps, -len(steps) // 64)[-len(steps) // 64]).bit_length() // 8))
+    wide = np.flatnonzero(steps >> np.uint64(4 * width) >> np.uint64(4 * width))
     body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    parts = [len(grams).to_bytes(8, "little"), bytes([width]), body]
-    for c in counts:
-        kind = next(k for k in ("u1", "<u4", "<u8") if int(c.max(initial=0)) < 1 << (8 * np.dtype(k).itemsize))
-        parts += [bytes([np.dtype(kind).itemsize]), c.astype(kind).tobytes()]
-    return b"".join(parts)
+    found = [varints(np.array([len(grams), width, len(wide)])), varints(np.diff(wide, prepend=0)), varints(steps[wide]), body]
+    return b"".join([*found, *[varints(c) for c in counts]])
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, width, at = int.from_bytes(data[:8], "little"), data[8], 9
+    raw = np.frombuffer(data, np.uint8)
+    (n, width, m), at = read_varints(raw, 0, 3)
+    n, width = int(n), int(width)
+    wide, at = read_varints(raw, at, int(m))
+    values, at = read_varints(raw, at, int(m))
     steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
-    at += n * width
-    out = [np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)]
-    for _ in range(2):
-        size = data[at]
-        out.append(np.frombuffer(data, f"<u{size}", n, at + 1).astype(np.int64))
-        at += 1 + n * size
-    return out[0], out[1], out[2]
+    steps[:, :width] = raw[at : at + n * width].reshape(n, width)
+    steps = steps.view("<u8").ravel()
+    steps[np.cumsum(wide).astype(np.int64)] = values
+    one, at = read_varints(raw, at + n * width, n)
+    two, at = read_varints(raw, at, n)
+    return np.cumsum(steps, dtype=np.uint64), one.astype(np.int64), two.astype(np.int64)
 
 
 def _block_rows(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -86,12 +87,12 @@ def _block_rows(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
     return ids, docs.column("text").combine_chunks(), np.asarray(target.to_numpy(zero_copy_only=False), bool)
 
 
-def _counted(texts: pa.Array, target: np.ndarray):
+def _counted(texts: pa.Array, target: np.ndarray, bits: int):
     """A block's different n-grams with both counts, the places of each word and bigram among them, and words' rows."""
     hashes, first = words(texts)
-    one, two, row = ngrams(hashes, first)
+    one, two, row = ngrams(hashes, first, bits)
     starts = np.flatnonzero(np.diff(first) > 0)
-    start = mix(np.array([_START]) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - HASH_BITS)
+    start = mix(np.array([_START]) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - bits)
     every = np.concatenate([one, two, np.repeat(start, len(starts))])
     inside = target[np.concatenate([row, row, starts])]
     known, place = np.unique(every, return_inverse=True)
@@ -99,12 +100,17 @@ def _counted(texts: pa.Array, target: np.ndarray):
     return known, counts, place, row, first
 
 
-def _sends(parts: int):
+def _edges(known: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each part's n-grams begin in a sorted block (one more at the end)."""
+    part = ((known >> np.uint64(max(0, bits - 32))) * np.uint64(parts)) >> np.uint64(min(32, bits))
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _sends(parts: int, bits: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         _, texts, target = _block_rows(rows)
-        known, counts, *_ = _counted(texts, target)
-        part = ((known >> np.uint64(HASH_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        known, counts, *_ = _counted(texts, target, bits)
+        edges = _edges(known, parts, bits)
         some = np.flatnonzero(np.diff(edges))
         packed = [pack(known[a:b], (counts[0][a:b], counts[1][a:b])) for a, b in zip(edges[some], edges[some + 1], strict=True)]
         return pa.table({"part": pa.array(some, pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()), "grams": pa.array(packed, pa.binary())})
@@ -113,33 +119,36 @@ def _sends(parts: int):
 
 
 def _returns(key: tuple, rows: pa.Table) -> pa.Table:
-    """For each block of a part: its n-grams that others have too, with the totals."""
-    blocks = rows.column("block").to_pylist()
+    """For each block of a part: which of its n-grams others have too, a bit each, and their totals."""
     own = [unpack(x.as_py()) for x in rows.column("grams")]
-    every = np.concatenate([x[0] for x in own])
-    known, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    sizes = [len(x[0]) for x in own]
+    known, place, times = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True, return_counts=True)
     totals = [np.bincount(place, np.concatenate([x[k] for x in own]), len(known)).astype(np.int64) for k in (1, 2)]
     out, at = [], 0
-    for grams, *_ in own:
-        here = place[at : at + len(grams)]
-        at += len(grams)
-        here = here[times[here] > 1]
-        out.append(pack(known[here], (totals[0][here], totals[1][here])))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "totals": pa.array(out, pa.binary())})
+    for n in sizes:
+        here = place[at : at + n]
+        at += n
+        shared = times[here] > 1
+        here = here[shared]
+        out.append(np.packbits(shared).tobytes() + varints(totals[0][here]) + varints(totals[1][here]))
+    part = pa.array([key[0].as_py()] * len(out), pa.int64())
+    return pa.table({"block": rows.column("block"), "part": part, "totals": pa.array(out, pa.binary())})
 
 
-def _scores(background: int, target_words: int):
+def _scores(background: int, target_words: int, parts: int, bits: int):
     size = (background, target_words)
 
     def run(key: tuple, rows: pa.Table, returned: pa.Table) -> pa.Table:
         ids, texts, target = _block_rows(rows)
-        known, own, place, row, first = _counted(texts, target)
+        known, own, place, row, first = _counted(texts, target, bits)
         whole = [c.copy() for c in own]
-        for data in returned.column("totals"):
-            grams, *totals = unpack(data.as_py())
-            at = np.searchsorted(known, grams)
+        edges = _edges(known, parts, bits)
+        for part, data in zip(returned.column("part").to_pylist(), returned.column("totals"), strict=True):
+            raw, n = np.frombuffer(data.as_py(), np.uint8), int(edges[part + 1] - edges[part])
+            shared = edges[part] + np.flatnonzero(np.unpackbits(raw, count=n))
+            at = -(-n // 8)
             for k in (0, 1):
-                whole[k][at] = totals[k]
+                whole[k][shared], at = read_varints(raw, at, len(shared))
         n, m = np.diff(first), len(row)
         # what the word's own document adds to each count is left out of its own model
         _, inverse, times = np.unique(place[: 2 * m] * np.int64(max(1, len(n))) + np.concatenate([row, row]), return_inverse=True, return_counts=True)
@@ -194,12 +203,13 @@ def cross_entropy_difference(documents: DataFrame, labels: DataFrame) -> DataFra
     total = [by[k]["n"] if k in by else 0 for k in (0, 1)]
     blocks = max(1, math.ceil(sum(r["bytes"] for r in by.values()) / BLOCK))
     parts = max(1, math.ceil(sum(total) / PART))
+    bits = min(63, max(32, sum(total).bit_length() + SPARE_BITS))
     # labels go to the block of their document; a row without id has none and goes by its text
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
     rows = docs.select(block(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(1).alias("kind"), "doc_id", "text")
     rows = rows.unionByName(good.select(block(F.col("doc_id")), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("string").alias("text")))
     dealt = rows.groupBy("block")
-    sent = dealt.applyInArrow(_sends(parts), "part long, block long, grams binary")
-    returned = sent.groupBy("part").applyInArrow(_returns, "block long, totals binary")
+    sent = dealt.applyInArrow(_sends(parts, bits), "part long, block long, grams binary")
+    returned = sent.groupBy("part").applyInArrow(_returns, "block long, part long, totals binary")
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
-    return dealt.cogroup(returned.groupBy("block")).applyInArrow(_scores(*total), schema)
+    return dealt.cogroup(returned.groupBy("block")).applyInArrow(_scores(*total, parts, bits), schema)

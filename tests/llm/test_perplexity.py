@@ -71,8 +71,9 @@ def test_documents_that_occur_twice_stand_apart(spark):
 
 def test_packing_of_counts():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 1000):
+    for n in (0, 1, 63, 1000, 30_000):
         grams = np.unique(rng.integers(0, 1 << 56, n).astype(np.uint64))
+        grams = np.unique(np.concatenate([grams, grams[:3] + np.uint64(1)]))
         counts = rng.integers(0, 300, len(grams)), rng.integers(0, 2, len(grams))
         got = lm.unpack(lm.pack(grams, counts))
         assert all((a == b).all() for a, b in zip(got, (grams, *counts), strict=True))
