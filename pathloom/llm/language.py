@@ -115,7 +115,7 @@ def sample(rows: DataFrame, label: str, most: int, longest: int = SAMPLE_TEXT) -
     near = hashed.join(bound, label).where("_h <= _edge").groupBy(label, "_h").agg(F.min("text").alias("text"))
     first = Window.partitionBy(label).orderBy("_h", "text")
     kept = near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).orderBy(label, "_k")
-    return kept.select(label, "text").collect(), totals
+    return kept.select(label, "text").toArrow().to_pylist(), totals
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, seed: int = 5) -> LanguageModel:
