@@ -105,11 +105,6 @@ def by_sequence() -> Window:
     return Window.partitionBy("sequence_id").orderBy("sequence_order", "original_row")
 
 
-def metadata(df: DataFrame, meta: Sequence[str]) -> DataFrame:
-    """sequence_id and each metadata column's first non-null value."""
-    return df.groupBy("sequence_id").agg(*[F.min(c).alias(c) for c in meta])
-
-
 def arrays(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One row per sequence: its states in order, and the named columns' least values."""
     packed = F.array_sort(F.collect_list(F.struct("sequence_order", "original_row", "state")))
