@@ -95,13 +95,18 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return centres
 
 
+def sample_hash(longest: int = SAMPLE_TEXT) -> Column:
+    """What ``sample`` draws by; taken before a join with labels, only hashes are exchanged to count them."""
+    return F.when(F.octet_length("text") <= longest, F.xxhash64("text", F.lit(17)))
+
+
 def sample(rows: DataFrame, label: str, most: int, longest: int = SAMPLE_TEXT) -> tuple[list, dict]:
     """At most ``most`` different texts of each label value, those with the least hashes, and rows by label.
 
     Texts of more than ``longest`` bytes are not drawn, so what reaches the driver is bounded in
     bytes as well. A text counts once however often it occurs, so copies don't crowd the sample.
     """
-    hashed = rows.select(label, "text", F.when(F.octet_length("text") <= longest, F.xxhash64("text", F.lit(17))).alias("_h"))
+    hashed = rows if "_h" in rows.columns else rows.withColumn("_h", sample_hash(longest))
     sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h", 0.02).alias("d")).collect()
     totals = {r[label]: r["n"] for r in sizes}
     if not totals:
@@ -112,7 +117,7 @@ def sample(rows: DataFrame, label: str, most: int, longest: int = SAMPLE_TEXT) -
         edges.append((row[label], int((share * 2 - 1) * (1 << 63)) if share < 1 else (1 << 63) - 1))
     kind = rows.schema[label].dataType.simpleString()
     bound = F.broadcast(rows.sparkSession.createDataFrame(edges, f"{label} {kind}, _edge long"))  # a row a label
-    near = hashed.join(bound, label).where("_h <= _edge").groupBy(label, "_h").agg(F.min("text").alias("text"))
+    near = hashed.where(F.col("_h") <= max(e for _, e in edges)).join(bound, label).where("_h <= _edge").groupBy(label, "_h").agg(F.min("text").alias("text"))
     first = Window.partitionBy(label).orderBy("_h", "text")
     kept = near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most).orderBy(label, "_k")
     return kept.select(label, "text").toArrow().to_pylist(), totals

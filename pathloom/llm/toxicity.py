@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, span_hashes, utf8, word_spans
-from .language import remainder, sample
+from .language import remainder, sample, sample_hash
 
 #: Hashed features.
 FEATURES = 1 << 20
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_CLASS, epochs: int = 60, rid
     At most ``most`` rows of each class reach the driver; classes are weighted back to their
     true shares. Without both classes every score is 0.
     """
-    usable = labelled.where("toxic in (0, 1) and text is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    usable = labelled.where("toxic in (0, 1) and text is not null").withColumn("toxic", F.col("toxic").cast("int"))
     rows, totals = sample(usable, "toxic", most)
     if len({r["toxic"] for r in rows}) < 2:
         return ToxicityModel(np.zeros(FEATURES), -30.0)
@@ -184,7 +184,8 @@ def train(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model from the labels of documents whose crc32(doc_id) mod 4 is not 2."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", "toxic")
     # labels grow with the corpus: the plan that holds for large ones is used for all
-    return fit(documents.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "toxic"))
+    docs = documents.select("doc_id", "text", sample_hash().alias("_h"))
+    return fit(docs.join(known.hint("merge"), "doc_id").select("text", "toxic", "_h"))
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
