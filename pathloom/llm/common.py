@@ -73,7 +73,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Split batches so that the text of each slice is about ``most`` bytes or one row."""
+    """Split batches so that the text of each slice is about ``most`` bytes or one row.
+
+    At the end what Arrow's pool has freed goes back to the system: workers outlive their tasks, and
+    would hold it beside the next stage's.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -83,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, n], strict=True):
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 _WORD = np.zeros(256, dtype=bool)

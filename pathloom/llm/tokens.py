@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 #: Id appended to each document.
 END = 1
 #: Chunks and runs in one generation of a worker's memos.
-MEMO = 250_000
+MEMO = 125_000
 
 # The split rule of the vocabulary file for which runs are taken apart here.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
