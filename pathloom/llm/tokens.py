@@ -66,7 +66,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
+        self._tokenize = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
         self._ids = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._runs, self._chunks = _Memo(self._run), _Memo(self._chunk)
@@ -79,9 +79,11 @@ class Encoder:
         return b"".join([known[i] for i in ids])
 
     def _run(self, run: str) -> bytes:
-        letters = self._letters
-        word = run if run.isascii() else "".join([letters[b] for b in run.encode()])
-        return self._packed([t.id for t in self._model.tokenize(word)])
+        if not run.isascii():
+            letters = self._letters
+            run = "".join([letters[b] for b in run.encode()])
+        known = self._ids
+        return b"".join([known[t.id] for t in self._tokenize(run)])
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
