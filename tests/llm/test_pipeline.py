@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
 from pathloom.llm import queries
+from pathloom.llm.common import table
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +73,15 @@ def test_empty(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, tmp_path):
+    spark.range(64).selectExpr("id as doc_id", "repeat('x', 1000000) as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    own = spark.newSession()  # the session's settings are left as they were
+    found = [r["n"] for r in table(own, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 64_000_000 and max(found) < 10_000_000
