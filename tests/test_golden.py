@@ -121,3 +121,22 @@ def test_time_model_recovers_curves(spark):
 def test_spline_basis_sums_to_one():
     b = timemodel.spline_basis(np.linspace(0, 10, 21), 0, 10, 5, 3)
     assert b.sum(axis=1) == pytest.approx(np.ones(21)) and (b >= -1e-12).all()
+
+
+def test_time_model_sums_are_the_same_on_executors(spark, monkeypatch):
+    monkeypatch.setattr(timemodel, "BLOCK", 16)
+    rows = [(f"p{i}", t, "hit" if (3 * t + i * i) % 5 < 2 else "miss", f"g{i % 2}") for i in range(40) for t in range(5 + i % 3)]
+    df = spark.createDataFrame(rows, "sequence_id string, sequence_order int, state string, grp string")
+    packed = timemodel.blocks(timemodel.model_frame(df, "grp", "sequence_id", target_state="hit"))
+    held = [timemodel._block(*r) for r in packed.collect()]
+    f = lambda b: np.array([b.n @ b.size, b.y.sum(), b.size[b.parts[b.people]].sum(), np.exp(b.times[b.at] / 9) @ b.y])
+    got = timemodel.summed(packed, f)
+    assert got == pytest.approx(timemodel.summed(held, f)) and got[:3].tolist() == [len(rows), sum(r[2] == "hit" for r in rows), 40]
+
+
+def test_alike_participants_are_one_row_of_the_time_model(spark):
+    rows = [(f"p{i}", t, "hit" if (t + i) % 3 == 0 else "miss", f"g{i % 2}") for i in range(60) for t in range(6)]
+    df = spark.createDataFrame(rows, "sequence_id string, sequence_order int, state string, grp string")
+    frame = timemodel.model_frame(df, "grp", "sequence_id", target_state="hit")
+    held = [timemodel._block(*r) for r in timemodel.blocks(frame).collect()]
+    assert sum(len(b.n) for b in held) == 12 and sum(b.n @ b.size for b in held) == 360 and sum(b.y.sum() for b in held) == 120
