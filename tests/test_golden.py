@@ -140,3 +140,25 @@ def test_alike_participants_are_one_row_of_the_time_model(spark):
     frame = timemodel.model_frame(df, "grp", "sequence_id", target_state="hit")
     held = [timemodel._block(*r) for r in timemodel.blocks(frame).collect()]
     assert sum(len(b.n) for b in held) == 12 and sum(b.n @ b.size for b in held) == 360 and sum(b.y.sum() for b in held) == 120
+
+
+def test_distances_of_paths_stand_for_all_pairs(spark):
+    from pathloom.operators import meta
+
+    words = {f"s{i:03}": ("ABC", "ABD", "CC")[i % 3] for i in range(200)}  # of several blocks
+    x = distance.compute_sequence_distance(table(spark, words))
+    assert x.between.count() == 6
+    pairs = {(r[0], r[1]): r[2] for r in x.pairs.collect()}
+    d = {"ABCABD": 1.0, "ABCCC": 2.0, "ABDCC": 3.0}
+    want = {(a, b): 0.0 if words[a] == words[b] else d["".join(sorted((words[a], words[b])))] for a in words for b in words if a < b}
+    assert pairs == want and x.pairs.count() == len(want)
+    overall, per = distance.summarise_sequence_distance(x)
+    assert overall.first()["n_pairs"] == len(want) and overall.first()["mean_distance"] == pytest.approx(np.mean(list(want.values()))) and overall.first()["median_distance"] == np.median(list(want.values()))
+    own = [v for k, v in want.items() if "s007" in k]
+    assert per.where("sequence_id = 's007'").first()["mean_distance"] == pytest.approx(np.mean(own)) and per.count() == 200
+    assert meta.audit_sequence_analysis(x, spark)[0].first()["status"] == "pass"
+    y = distance.compute_sequence_distance(table(spark, {**words, "s000": "CC", "t": "CC"}))
+    far = {r["field"]: r for r in meta.compare_sequence_analysis_results(x, y, spark, compare_values=True).collect()}["values"]
+    words2 = {**words, "s000": "CC"}
+    moved = sum(words[a] != words["s000"] or words2[a] != "CC" for a in words if a != "s000")
+    assert int(far["y"]) == moved + 200
