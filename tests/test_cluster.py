@@ -77,3 +77,30 @@ def test_cluster_queries_see_every_conversation(spark):
     assert {r["sequence_id"] for r in models._distances(spark, folder).sequences.collect()} == ids
     for name in ("cluster_hier", "cluster_clara", "silhouette_data"):
         assert {r["sequence_id"] for r in models.QUERIES[name](spark, folder).collect()} == ids
+
+
+@pytest.mark.parametrize("method,linkage", [("pam", "average"), ("clara", "average"), *[("hierarchical", m) for m in cluster.LINKAGES]])
+@pytest.mark.parametrize("k", [2, 3, 9])
+def test_weighted_paths_are_solved_as_their_sequences(method, linkage, k):
+    own = np.array([2, 0, 0, 4, 1, 2, 3, 3, 3, 0, 5, 2, 1])
+    d = matrix(POINTS[:6])
+    label, medoids, merges = cluster.solve(d, k, method, linkage, own=own, **({"sampsize": 11} if method == "clara" else {}))
+    want, m, steps = cluster.solve(d[np.ix_(own, own)], k, method, linkage, own=np.arange(13), **({"sampsize": 11} if method == "clara" else {}))
+    if method == "hierarchical":  # each sequence as a path of its own
+        assert [x[:2] for x in merges] == [x[:2] for x in steps] and [x[2] for x in merges] == pytest.approx([x[2] for x in steps])
+    assert label.tolist() == want.tolist()
+    assert medoids == m or all(d[own[a], own[b]] == 0 for a, b in zip(medoids, m, strict=True))
+
+
+def test_clusters_have_no_bound_on_sequences(spark, monkeypatch):
+    from pathloom.operators.distance import compute_sequence_distance
+
+    monkeypatch.setattr(cluster, "DENSE", 3)
+    words = {f"s{i:02}": ("AB", "ABA", "CCCC")[i % 3] for i in range(30)}
+    df = spark.createDataFrame([(s, i, c) for s, w in words.items() for i, c in enumerate(w)], "sequence_id string, sequence_order int, state string")
+    x = compute_sequence_distance(df)
+    got = {r[0]: r[1] for r in cluster.cluster_sequences(x, 2).assignments.collect()}
+    assert got == {s: 2 if w == "CCCC" else 1 for s, w in words.items()}
+    boot = cluster.bootstrap_sequence_clusters(x, 2, n_boot=3)
+    pairs = boot.pairs.toPandas()
+    assert boot.overall.first()["mean_pairwise_stability"] == pytest.approx(pairs["stability"].mean()) and not pairs.duplicated(["sequence_id_1", "sequence_id_2"]).any()
