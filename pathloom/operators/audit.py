@@ -56,10 +56,11 @@ def audit_sequence_data(
     metadata_cols: Sequence[str] | None = None,
     expected_states: Sequence[str] | None = None,
     row_col: str | None = None,
+    has_rows: bool = False,
 ) -> DataFrame:
     """All issues of a sequence table, one row each; the input is not changed.
 
-    ``row_col`` names a column with physical positions; without one, Spark's row ids serve.
+    ``row_col`` names a column with physical positions; without one, Spark's row ids serve. ``has_rows`` saves looking for a row.
     """
     meta = list(metadata_cols or [])
     roles = {"sequence_id": sequence_id_col, "sequence_order": order_col, "state": state_col} | ({"duration": duration_col} if duration_col else {})
@@ -71,7 +72,7 @@ def audit_sequence_data(
     absent += [("missing_metadata_column", c, "A metadata column is missing.") for c in meta if c not in data.columns]
     if absent:
         return _table_issues(data, absent)
-    if data.isEmpty():
+    if not has_rows and data.isEmpty():
         return _table_issues(data, [("empty_data", "<table>", "The table has no rows.")])
     kinds = {c: data.schema[c].dataType for c in [*roles.values(), *meta]}
     typed = [(f"invalid_{r}_type", roles[r], "The column must be atomic.") for r in ("sequence_id", "state") if _nested(kinds[roles[r]])]
@@ -150,6 +151,55 @@ def audit_sequence_data(
     return reduce(DataFrame.unionByName, out)
 
 
+def _flagged(data: DataFrame, sequence_id_col: str, order_col: str, state_col: str, duration_col=None, metadata_cols=None, expected_states=None, row_col=None) -> tuple[DataFrame, dict[str, Column]] | None:
+    """The audit's columns, and the issues that a row shows alone. None if the table's form is at fault."""
+    meta = list(metadata_cols or [])
+    names = [sequence_id_col, order_col, state_col, *([duration_col] if duration_col else []), *meta]
+    if len(set(data.columns)) < len(data.columns) or set(names) - set(data.columns):
+        return None
+    kinds = {c: data.schema[c].dataType for c in names}
+    if any(_nested(kinds[c]) for c in names) or not all(isinstance(kinds[c], T.NumericType) for c in (order_col, *([duration_col] if duration_col else []))):
+        return None
+    # ids that are text or integers are as distinct as their text, so rows that are dealt by them needn't be dealt again
+    key = F.col(sequence_id_col) if isinstance(kinds[sequence_id_col], (T.StringType, T.IntegralType)) else F.lit(0)
+    df = data.select(
+        key.alias("_key"), F.when(~blank(F.col(sequence_id_col)), F.col(sequence_id_col).cast("string")).alias("_id"), F.col(order_col).cast("double").alias("_order"),
+        F.when(~blank(F.col(state_col)), F.col(state_col).cast("string")).alias("_state"), (F.col(row_col) if row_col else F.monotonically_increasing_id() + 1).cast("long").alias("_row"),
+        *([F.col(duration_col).cast("double").alias("_duration")] if duration_col else []), *[F.col(c).cast("string").alias(f"_m{i}") for i, c in enumerate(meta)],
+    )
+    lost, endless, d = F.col("_order").isNull() | F.isnan("_order"), F.abs("_order") == float("inf"), F.col("_duration")
+    each = {"missing_sequence_id": F.col("_id").isNull(), "missing_state": F.col("_state").isNull(), "missing_sequence_order": lost, "non_finite_order": endless}
+    if duration_col:
+        each |= {"missing_duration": d.isNull() | F.isnan(d), "non_finite_duration": F.abs(d) == float("inf"), "negative_duration": (d < 0) & (d != float("-inf")), "zero_duration": d == 0}
+    if expected_states is not None:
+        each["unknown_state"] = ~F.col("_state").isin([str(s) for s in expected_states])
+    return df.withColumn("_ok", F.col("_id").isNotNull() & ~lost & ~endless), each
+
+
+def _tally(data: DataFrame, *columns, expected_states=None, **more) -> DataFrame | None:
+    """One row of n_errors, n_reviews and n_info: the numbers of issues of the audit, by one pass over the rows. None if the table's form is at fault."""
+    if (found := _flagged(data, *columns, expected_states=expected_states, **more)) is None:
+        return None
+    df, each = found
+    meta = [c for c in df.columns if c.startswith("_m")]
+    by_row, by_order = (Window.partitionBy("_key", "_id", "_ok").orderBy(*c) for c in (("_row",), ("_order", "_row")))
+    same = Window.partitionBy("_key", "_id", "_ok", "_order")
+    rows = df.withColumns({"_left": F.lag("_order").over(by_order), "_last": F.lag("_state").over(by_order), "_same": F.count(F.lit(1)).over(same)}).withColumn("_before", F.lag("_order").over(by_row))
+    ok, whole = F.col("_ok"), F.abs(F.col("_order") - F.round("_order")) <= 1.49e-8
+    held = rows.groupBy("_key", "_id").agg(
+        *[F.count_if(c).alias(code) for code, c in each.items()], F.count_if(ok & (F.col("_same") > 1)).alias("duplicated_position"), F.count_if(ok & (F.col("_state") == F.col("_last"))).alias("consecutive_repeated_state"),
+        F.max(ok & (F.col("_order") < F.col("_before"))).cast("long").alias("unordered_rows"), (F.min(F.when(ok, whole)) & (F.count_if(ok & (F.col("_order") - F.col("_left") > 1)) > 0)).cast("long").alias("missing_positions"),
+        (F.col("_id").isNotNull() & (F.count("_state") == 1)).cast("long").alias("single_state_sequence"), *[(F.col("_id").isNotNull() & (F.min(c) != F.max(c))).cast("long").alias(f"inconsistent_metadata{c[2:]}") for c in meta],
+    )
+    found = held.agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(c) for c in held.columns[2:]]).withColumn("empty_data", (F.col("_rows") == 0).cast("long")).drop("_rows")
+    if expected_states is not None:
+        states = list({str(s) for s in expected_states} - {""})
+        seen = df.where(F.col("_state").isin(states)).agg(F.count_distinct("_state").alias("seen"))
+        found = found.crossJoin(seen).withColumn("unused_state_levels", F.lit(sum(str(s) != "" for s in expected_states)) - F.col("seen")).drop("seen")
+    total = lambda kind: sum((F.coalesce(F.col(c), F.lit(0)) for c in found.columns if _severity(c.rstrip("0123456789")) == kind), F.lit(0).cast("long"))
+    return found.select(total("error").alias("n_errors"), total("review").alias("n_reviews"), total("info").alias("n_info"))
+
+
 @dataclass(frozen=True)
 class ValidationResult:
     """An audit with its counts; ``summary`` has one row."""
@@ -173,7 +223,9 @@ def column_mapping(data: DataFrame, sequence_id_col: str, order_col: str, state_
 def validate_sequence_data(data: DataFrame, sequence_id_col: str, order_col: str, state_col: str, duration_col=None, metadata_cols=None, expected_states=None, row_col=None) -> ValidationResult:
     """The audit, and one row: valid, status, n_errors, n_reviews, n_info, n_rows, n_sequences, n_states."""
     audit = audit_sequence_data(data, sequence_id_col, order_col, state_col, duration_col, metadata_cols, expected_states, row_col)
-    counts = audit.agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "n_errors"), ("review", "n_reviews"), ("info", "n_info"))])
+    counts = _tally(data, sequence_id_col, order_col, state_col, duration_col, metadata_cols, expected_states=expected_states, row_col=row_col)
+    if counts is None:
+        counts = audit.agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "n_errors"), ("review", "n_reviews"), ("info", "n_info"))])
     has = [c for c in (sequence_id_col, state_col) if c in data.columns]
     size = data.agg(F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(F.when(~blank(F.col(c)), F.col(c).cast("string"))).alias(n) for c, n in zip(has, ("n_sequences", "n_states"), strict=False)])
     status = F.when(F.col("n_errors") > 0, "fail").when(F.col("n_reviews") > 0, "review").otherwise("pass")
@@ -210,12 +262,18 @@ def prepare_sequence_data(
     ):
         _choose(name, value, known)
     spark, meta = data.sparkSession, list(metadata_cols or [])
-    before = audit_sequence_data(data, sequence_id_col, order_col, state_col, duration_col, metadata_cols, expected_states, row_col)
-    staged = before.select(F.lit("input").alias("stage"), "*")
     mapping = column_mapping(data, sequence_id_col, order_col, state_col, duration_col, metadata_cols)
     log = "step string, policy string, affected_rows long, details string"
     fatal = {*FATAL} | ({"missing_state"} if missing_state_policy == "error" else set()) | ({"duplicated_position"} if duplicate_position_policy == "error" else set())
-    if not before.where(F.col("issue_code").isin(sorted(fatal))).isEmpty():
+    alone, has_rows, failed = None if meta or duplicate_position_policy == "error" else _flagged(data, sequence_id_col, order_col, state_col, duration_col, row_col=row_col), False, False
+    if alone is not None:
+        bad = reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for code, c in alone[1].items() if code in fatal])
+        has_rows, failed = alone[0].agg(F.count(F.lit(1)) > 0, F.coalesce(F.bool_or(bad), F.lit(True))).first()
+    before = audit_sequence_data(data, sequence_id_col, order_col, state_col, duration_col, metadata_cols, expected_states, row_col, has_rows)
+    staged = before.select(F.lit("input").alias("stage"), "*")
+    if alone is None:
+        failed = not before.where(F.col("issue_code").isin(sorted(fatal))).isEmpty()
+    if failed:
         return PrepareResult(None, staged, spark.createDataFrame([], log), mapping, "fail")
     df = data.select(
         F.col(sequence_id_col).alias("sequence_id"), F.col(order_col).alias("sequence_order"), F.when(~blank(F.col(state_col)), F.col(state_col).cast("string")).alias("state"),
@@ -241,21 +299,31 @@ def prepare_sequence_data(
         result = collapsed.select("sequence_id", "s.sequence_order", "s.state", "s.original_row", *(["duration"] if duration_col else []), *[f"s.{c}" for c in meta])
     else:
         result = chosen.select("sequence_id", "sequence_order", "state", "original_row", *(["duration"] if duration_col else []), *meta)
-    counts = marked.agg(*[F.count_if(F.col("_drop") == k).alias(k) for k in ("missing", "unknown", "zero")], F.count_if(unknown).alias("seen_unknown"), F.count_if(zero).alias("seen_zero")).first()
-    twice, repeats = kept.where("_n > 1").count(), runs.where("_new = 0").count()
+    # one pass: rows that are dropped or not the first of a position stand aside in windows of their own
+    taken = F.col("_drop").isNull()
+    every = marked.withColumn("_n", F.row_number().over(Window.partitionBy("sequence_id", F.col("sequence_order").cast("double"), taken).orderBy(F.col("original_row").desc() if last else F.col("original_row"))))
+    every = every.withColumn("_one", taken & (F.col("_n") == 1))
+    again = F.lag("state").over(Window.partitionBy("sequence_id", "_one").orderBy("sequence_order", "original_row"))
+    every = every.withColumn("_again", F.col("_one") & (F.col("state") == again))
+    counts = every.agg(
+        *[F.count_if(F.col("_drop") == k).alias(k) for k in ("missing", "unknown", "zero")], F.count_if(unknown).alias("seen_unknown"), F.count_if(zero).alias("seen_zero"),
+        F.count_if(taken & (F.col("_n") > 1)).alias("twice"), F.count_if("_again").alias("repeats"), F.count_if("_one").alias("left"),
+    ).first()
+    twice, repeats = counts["twice"], counts["repeats"]
     decisions = [
         ("missing_states", missing_state_policy, counts["missing"], "rows dropped"), ("unknown_states", unknown_state_policy, counts["unknown"], "rows dropped"),
         ("zero_durations", zero_duration_policy, counts["zero"], "rows dropped"), ("duplicated_positions", duplicate_position_policy, twice, "rows dropped"),
         ("row_order", "sort", 0, "rows are read by sequence and order"), ("consecutive_repeats", repeated_state_policy, repeats if repeated_state_policy == "collapse" else 0, "rows merged"),
         ("unused_state_levels", unused_state_levels, 0, "levels are declared, not stored"), ("column_mapping", "canonical", 0, "columns renamed"),
     ]
-    after = audit_sequence_data(result, "sequence_id", "sequence_order", "state", "duration" if duration_col else None, meta, None if unused_state_levels == "drop" and not expected else expected_states, "original_row")
+    after = audit_sequence_data(result, "sequence_id", "sequence_order", "state", "duration" if duration_col else None, meta, None if unused_state_levels == "drop" and not expected else expected_states, "original_row", counts["left"] > 0)
     extra = []
     if zero_duration_policy == "error" and counts["seen_zero"]:
         extra.append(_issue(df.where(zero).withColumnRenamed("sequence_id", "_id"), "zero_duration_disallowed", "duration", F.col("original_row"), F.col("duration"), "Zero durations are not allowed.", "Remove them."))
     if unknown_state_policy == "error" and counts["seen_unknown"]:
         extra.append(_issue(df.where(unknown).withColumnRenamed("sequence_id", "_id"), "unknown_state_disallowed", "state", F.col("original_row"), F.col("state"), "Unknown states are not allowed.", "Remove them."))
     after = reduce(DataFrame.unionByName, [after, *extra]).select(F.lit("output").alias("stage"), "*")
-    severe = {r["severity"] for r in after.select("severity").distinct().collect()}
-    status = "fail" if "error" in severe else "review" if "review" in severe else "pass"
+    found = _tally(result, "sequence_id", "sequence_order", "state", "duration" if duration_col else None, meta, expected_states=None if unused_state_levels == "drop" and not expected else expected_states, row_col="original_row")
+    errors, reviews, _ = (1, 0, 0) if found is None else found.first()
+    status = "fail" if errors or extra else "review" if reviews else "pass"
     return PrepareResult(None if status == "fail" else result, staged.unionByName(after), spark.createDataFrame(decisions, log), mapping, status)

@@ -10,6 +10,9 @@ CONV = {"sequence_id_col": "conv_id", "order_col": "turn", "state_col": "role"}
 LIN = {"sequence_id_col": "l_orderkey", "order_col": "l_linenumber", "state_col": "l_returnflag"}
 PAN = {"sequence_id_col": "sid", "order_col": "ord", "state_col": "o_orderpriority"}
 
+#: Line items that a task sorts, about.
+TASK_ROWS = 250_000
+
 #: The same sequences in SQL.
 EVT_SQL = (
     "evt AS (SELECT CAST(user_id AS VARCHAR) AS sequence_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_type AS state, "
@@ -46,7 +49,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``rn``, a position within the order that all columns decide."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", F.row_number().over(order).cast("long").alias("rn"))
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows.repartition(max(8, -(-rows.count() // TASK_ROWS)), "l_orderkey")  # a task's sorts don't grow with the table
+    return rows.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", F.row_number().over(order).cast("long").alias("rn"))
 
 
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,23 @@ def test_distances_of_paths_stand_for_all_pairs(spark):
     words2 = {**words, "s000": "CC"}
     moved = sum(words[a] != words["s000"] or words2[a] != "CC" for a in words if a != "s000")
     assert int(far["y"]) == moved + 200
+
+
+def test_validation_counts_what_the_audit_lists(spark):
+    rows = [("s1", 1.0, "A", -1.0), ("s1", 3.0, None, 0.0), ("s1", 3.0, "A", 1.0), (None, 2.0, "B", 1.0), ("s2", float("inf"), "C", None), ("s3", None, "Z", float("inf")), ("s4", 2.0, "B", 1.0), ("s4", 1.0, "B", 1.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "sequence_id string, sequence_order double, state string, duration double, r int")
+    got = audit.validate_sequence_data(df, *COLS, duration_col="duration", expected_states=["A", "B", "Q"], row_col="r")
+    listed = {r["severity"]: r["count"] for r in got.audit.groupBy("severity").count().collect()}
+    one = got.summary.first()
+    assert (one["n_errors"], one["n_reviews"], one["n_info"]) == tuple(listed.get(k, 0) for k in ("error", "review", "info"))
+    empty = audit.validate_sequence_data(df.limit(0), *COLS).summary.first()
+    assert (empty["status"], empty["n_errors"]) == ("fail", 1)
+    assert audit.prepare_sequence_data(df.limit(0), *COLS, duplicate_position_policy="first").status == "fail"
+
+
+def test_line_items_are_dealt_by_their_number(spark, monkeypatch):
+    from pathloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    rows = tables.lineitems(spark, "/root/testdata/sf0.001")
+    assert rows.count() == 6000 and rows.rdd.getNumPartitions() == 30
